@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions.normalize import company_number, duration_class, usable
+from ledgerline.llm.leakage import leaked
 from ledgerline.llm.nearest_time import nearest_in_time
 from ledgerline.llm.splitting import split_oversized
 from ledgerline.llm.survivorship import best_facts
+from ledgerline.llm.tokenize import encode_corpus
 from ledgerline.plans.registry import Registry
 from ledgerline.sources.tables import table
 
@@ -87,3 +89,13 @@ def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     hit = nearest_in_time(asked, rows, TOLERANCE_DAYS)
     return asked.join(hit, ["entity", "class", "day"]).select("comparison_id", F.col("right_id").alias("peer_row_id"), F.datediff("right_day", "day").alias("end_offset_days"))
+
+
+@R.add("p7_ids")
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_corpus(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@R.add("p8_found")
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "item_text"))
