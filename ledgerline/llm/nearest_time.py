@@ -20,6 +20,8 @@ from ledgerline.session import materialize, shared_path
 
 DAY_MS = 86_400_000
 SLICES = 6
+#: Rows of a feed file; a slice is as many files as it takes, read as one batch.
+ROWS_PER_FILE = 2_000_000
 _OUT = "entity bigint, class string, left_day int, right_day int, right_id bigint"
 
 
@@ -66,8 +68,8 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tolerance: int, slices: i
     lowest id. Rows with nulls take no part, repeated rows count once, an empty side gives an empty result.
 
     Both sides are reduced to distinct days per entity before the stream, so that no entity holds more rows than the
-    calendar has days. The stream reads slices of equal size in time order; the watermark lags by the longest slice, so
-    the order of files within a slice does not matter. Two marker rows after the end bring the last pairs out.
+    calendar has days. The stream reads slices of equal size in time order, one a batch, so the watermark needs no lag and the
+    state holds little more than the tolerance. Two marker rows after the end bring the last pairs out.
     """
     spark = left.sparkSession
     as_day = lambda c: F.datediff(F.col(c), F.lit("1970-01-01").cast("date"))
@@ -75,19 +77,20 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tolerance: int, slices: i
         right.select("entity", "class", as_day("day").alias("day"), "right_id").dropna().groupBy("entity", "class", "day").agg(F.min("right_id").alias("right_id")).withColumn("side", F.lit(1))
     )
     log = materialize(both, "nearest-log")
-    lo, hi, cuts = log.agg(F.min("day"), F.max("day"), F.percentile_approx("day", [i / slices for i in range(1, slices)], 1000)).first()
+    rows, lo, hi, cuts = log.agg(F.count(F.lit(1)), F.min("day"), F.max("day"), F.percentile_approx("day", [i / slices for i in range(1, slices)], 1000)).first()
     result = "entity bigint, class string, day date, right_day date, right_id bigint"
     if lo is None:
         return spark.createDataFrame([], result)
     edges = [lo, *sorted({c + 1 for c in cuts if lo < c + 1 <= hi}), hi + 1]
-    lag = max(b - a for a, b in zip(edges, edges[1:]))
+    per_batch = max(1, -(-rows // (slices * ROWS_PER_FILE)))
     feed, out, state = (shared_path(spark, f"nearest-{x}") for x in ("feed", "out", "state"))
     stamped = lambda df: df.withColumn("ts", F.timestamp_seconds(F.col("day").cast("bigint") * 86_400))
     for a, b in zip(edges, edges[1:]):  # one write a slice: file times then follow event time
-        stamped(log.where((F.col("day") >= a) & (F.col("day") < b))).write.mode("append").parquet(feed)
-    end = hi + tolerance + lag + 3
+        stamped(log.where((F.col("day") >= a) & (F.col("day") < b)).repartition(per_batch)).write.mode("append").parquet(feed)
+    # Where every slice has just the files of one batch, none is late; else the watermark lags by the longest slice.
     files = spark.read.parquet(feed).select(F.input_file_name()).distinct().count()
-    per_batch = max(1, -(-files // (len(edges) - 1)))
+    lag = 0 if files == per_batch * (len(edges) - 1) else max(b - a for a, b in zip(edges, edges[1:]))
+    end = hi + tolerance + lag + 3
     # One marker, then as many as a batch may hold: the last of them come in a later batch, past the watermark of the first.
     for day, copies in ((end, 1), (end + tolerance + 1, per_batch)):
         marker = spark.createDataFrame([(-1, "", day, 2, 0)] * copies, "entity bigint, class string, day int, side int, right_id bigint")

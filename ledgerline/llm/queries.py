@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.normalize import company_number, duration_class, usable
 from ledgerline.llm.leakage import leaked
+from ledgerline.llm.neardup import near_duplicates
 from ledgerline.llm.nearest_time import nearest_in_time
 from ledgerline.llm.splitting import split_oversized
 from ledgerline.llm.survivorship import best_facts
@@ -99,3 +100,9 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add("p8_found")
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "item_text"))
+
+
+@R.add("p3_found")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "narrative_passages", "passage_id", "text").select(F.col("passage_id").alias("id"), "text")
+    return near_duplicates(texts).select(F.col("id_a").alias("passage_id_a"), F.col("id_b").alias("passage_id_b"))
