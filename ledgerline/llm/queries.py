@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions.normalize import company_number, duration_class, usable
+from ledgerline.llm.garble import garbled, restored
 from ledgerline.llm.leakage import leaked
 from ledgerline.llm.neardup import near_duplicates
 from ledgerline.llm.nearest_time import nearest_in_time
@@ -106,3 +107,13 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "narrative_passages", "passage_id", "text").select(F.col("passage_id").alias("id"), "text")
     return near_duplicates(texts).select(F.col("id_a").alias("passage_id_a"), F.col("id_b").alias("passage_id_b"))
+
+
+@R.add("p9_found")
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@R.add("p9_restored")
+def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return restored(table(spark, sf_dir, "documents", "doc_id", "text"))
