@@ -41,6 +41,18 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/ledgerline/{label}-{uuid.uuid4().hex}"
 
 
+#: Input bytes a shuffle partition is meant for where an operator fixes their number itself.
+PARTITION_BYTES = 128 << 20
+MOST_PARTITIONS = 50_000
+
+
+def partitions_for(df: DataFrame) -> int:
+    """Shuffle partitions by the planner's size of df, at least as many as the session asks for."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(least, min(MOST_PARTITIONS, size // PARTITION_BYTES))
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
