@@ -49,7 +49,9 @@ MOST_PARTITIONS = 50_000
 def partitions_for(df: DataFrame) -> int:
     """Shuffle partitions by the planner's size of df, at least as many as the session asks for."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:  # the planner knows no size
+        return least
     return max(least, min(MOST_PARTITIONS, size // PARTITION_BYTES))
 
 
