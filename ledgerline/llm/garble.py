@@ -275,12 +275,12 @@ def garbled(documents: DataFrame, learned: Learned | None = None) -> DataFrame:
     """(doc_id) of each document of documents (doc_id, text) whose text shows misread characters, each once.
 
     Null, empty and plain ASCII texts show none. A document is found by a learned sequence (also where only a part is
-    garbled, or repeatedly), by a replacement character, whose original is lost, or by a surface a learned
+    garbled, or repeatedly; rows without an id are left out), by a replacement character, whose original is lost, or by a surface a learned
     single-byte transformation maps to a more frequent twin. Without twins nothing is learned; replacement characters
     are found all the same.
     """
     learned = learned or Learned(documents)
-    seen = documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_apply(learned.mapping), _APPLIED)
+    seen = documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_apply(learned.mapping), _APPLIED)
     sure = seen.where("sure").select("doc_id")
     if not learned.swaps:
         return sure.distinct()
@@ -324,7 +324,7 @@ def restored(documents: DataFrame) -> DataFrame:
     """(doc_id, restored, whole) of each found document: its text with all learned mappings undone; whole is false
     where lost characters remain."""
     learned = Learned(documents)
-    docs = documents.select(F.col("doc_id").cast("bigint"), "text")
+    docs = documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint"), "text")
     seen = docs.mapInArrow(_apply(learned.mapping), _APPLIED)
     marks = (
         seen.join(learned.surfaces, ["key", "surface"], "left").where("sure or way is not null")

@@ -107,14 +107,14 @@ def leaked(documents: DataFrame, items: DataFrame, span: int = SPAN, k: int = GR
     """(doc_id, item_id) of each document that shares at least span consecutive words with an item.
 
     documents: (doc_id, text); items: (item_id, item_text). Null, empty and shorter texts share nothing; a pair is
-    given once, however often and wherever it matches; repeated ids count as one document or item. The filter drops
+    given once, however often and wherever it matches; repeated ids count as one document or item, null ids as none. The filter drops
     only fingerprints no item has, so it cannot lose a pair; items and documents of any number meet in a shuffled
     join (or a broadcast one, where the planner finds the items' side small).
     """
-    item_prints = items.select(F.col("item_id").cast("bigint"), "item_text").mapInArrow(_prints(None, span, k), _SCHEMA)
+    item_prints = items.where("item_id is not null").select(F.col("item_id").cast("bigint"), "item_text").mapInArrow(_prints(None, span, k), _SCHEMA)
     parts = item_prints.select("fp").mapInArrow(_fill, "bits binary")
     bits = parts.coalesce(1).mapInArrow(_merge, "bits binary").first()[0]
-    doc_prints = documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_prints(bytes(bits), span, k), _SCHEMA)
+    doc_prints = documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_prints(bytes(bits), span, k), _SCHEMA)
     reach = span - k
     d, i = doc_prints.alias("d"), item_prints.alias("i")
     return (
