@@ -211,7 +211,8 @@ class Learned:
         twins = tokens.join(best, "key").where("n < best.n").select(F.col("surface").alias("garbled"), F.col("best.surface").alias("clean"))
         evidence = twins.mapInArrow(_evidence, "kind string, ways string, pair string").groupBy("kind", "ways").agg(F.countDistinct("pair").alias("pairs"))
         rows = evidence.collect()  # as many rows as there are transformations and sets of them
-        self.codecs, self.swaps = (self._cover({tuple(r.ways.split(" ")): r.pairs for r in rows if r.kind == kind}, least) for kind, least in (("multi", 1), ("single", SINGLE_SUPPORT)))
+        swaps = [f"{a}>{b}" for a in SINGLE for b in SINGLE]
+        self.codecs, self.swaps = (self._cover({tuple(r.ways.split(" ")): r.pairs for r in rows if r.kind == kind}, least, order) for kind, least, order in (("multi", 1, list(READERS)), ("single", SINGLE_SUPPORT, swaps)))
         chars = counts.where("kind = 1").select(F.col("surface").alias("original"), F.col("n").alias("n_original"))
         if self.codecs:
             seqs = counts.where("kind = 2").select("surface", "n").mapInArrow(_sequences(self.codecs), "seq string, original string, n bigint").groupBy("seq", "original").agg(F.sum("n").alias("n"))
@@ -229,15 +230,15 @@ class Learned:
             self.surfaces = spark.createDataFrame([], "key string, surface string, way string")
 
     @staticmethod
-    def _cover(explained: dict[tuple[str, ...], int], least: int) -> list[str]:
-        """Transformations by pairs explained, until no further one explains at least so many new ones."""
+    def _cover(explained: dict[tuple[str, ...], int], least: int, order: list[str]) -> list[str]:
+        """Transformations by pairs explained (on a tie the first in order), until none explains at least so many new ones."""
         out: list[str] = []
         left = dict(explained)
         while left:
             gain: Counter = Counter()
             for ways, n in left.items():
                 gain.update({w: n for w in ways})
-            best = min(gain, key=lambda w: (-gain[w], w))
+            best = min(gain, key=lambda w: (-gain[w], order.index(w)))
             if gain[best] < least:
                 break
             out.append(best)

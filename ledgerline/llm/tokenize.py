@@ -93,7 +93,7 @@ class WordEncoder:
         p = (np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
         self.db.register("given", pa.table({"w": w, "p": p, "t": self.singles[data]}))
         self.db.execute("CREATE OR REPLACE TEMP TABLE start AS SELECT * FROM given")
-        got = self.db.execute(_RECURSION).to_arrow_table()
+        got = self.db.sql(_RECURSION).to_arrow_table()
         for (word, _), ids in zip(words, got.column("ids").to_pylist(), strict=True):
             self.store[word] = ids
 
