@@ -591,7 +591,7 @@ def records_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.list_records(rec, notable_only=True, limit=50)[1].select("accession_number", "company_cik", "form", "filing_date", F.col("notable").cast("bigint").alias("notable"))
 
 
-@OTHER.add("stream_event_windows", "SELECT date_trunc('day', ts) AS "day", event_type, count(*) n FROM events GROUP BY ALL")
+@OTHER.add("stream_event_windows", "SELECT date_trunc('day', ts) AS day, event_type, count(*) n FROM events GROUP BY ALL")
 def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = poll.stream_table(spark, f"{sf_dir}/events.parquet")
     return poll.stream_to_table(spark, poll.windowed_counts(s, "ts", "1 day", "event_type"), "event-windows").select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
