@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions.normalize import collapse_space, company_number, dashed_accession, duration_class, label, padded_cik, usable
-from ledgerline.operators import compare, documents, facts, filings, narrative, records, retrieval
+from ledgerline.operators import compare, documents, facts, filings, narrative, records, report, retrieval
 from ledgerline.plans.registry import Registry
 from ledgerline.sources.tables import table
 from ledgerline.streaming import poll
@@ -615,3 +615,50 @@ def orders_quarters_year_over_year(spark: SparkSession, sf_dir: str) -> DataFram
 def docs_length_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents", "lang", "text", "n_chars")
     return d.groupBy(label("lang").alias("lang")).agg(F.count(F.lit(1)).alias("n"), F.count("text").alias("texts"), F.sum(F.length(collapse_space("text"))).alias("chars"), F.count_if(F.col("n_chars") != F.length("text")).alias("stale"))
+
+
+# ---- reports -----------------------------------------------------------------------------------------------------
+
+_YOY = f"y AS (SELECT c.company, c.concept, c.fiscal_year, c.fiscal_period, c.val current_value, p.val prior_value, {_PCT} FROM cf c JOIN cf p ON c.company = p.company AND c.concept = p.concept AND c.fiscal_period = p.fiscal_period AND c.fiscal_year = p.fiscal_year + 1)"
+
+
+@OTHER.add("report_large_changes", _CANON + f", {_YOY} SELECT company, concept, fiscal_year, fiscal_period, 'METRIC_CHANGE' rule_id, 'notable' severity FROM y WHERE abs(percent_change) >= 20")
+def report_large_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    y = compare.year_over_year(_canon(spark, sf_dir))
+    keys = ["company", "concept", "fiscal_year", "fiscal_period"]
+    return report.threshold_flags(y, F.col("percent_change"), 20.0, "METRIC_CHANGE", F.col("concept"), F.col("fiscal_period"), keys).select(*keys, "rule_id", "severity")
+
+
+@OTHER.add(
+    "report_margin_moves",
+    _CANON + """, m AS (SELECT n.company, n.fiscal_year, n.fiscal_period, n.concept, n.val / d.val * 100 pct FROM cf n JOIN cf d ON n.company = d.company AND n.fiscal_year = d.fiscal_year AND n.fiscal_period = d.fiscal_period WHERE d.concept = 'revenue' AND d.val <> 0 AND n.concept IN ('net_income', 'gross_profit', 'operating_income'))
+SELECT c.company, c.concept, c.fiscal_year, c.fiscal_period, round(c.pct - p.pct, 6) points FROM m c JOIN m p ON c.company = p.company AND c.concept = p.concept AND c.fiscal_period = p.fiscal_period AND c.fiscal_year = p.fiscal_year + 1 WHERE abs(c.pct - p.pct) >= 5""",
+)
+def report_margin_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = compare.margins(_canon(spark, sf_dir), ["net_income", "gross_profit", "operating_income"]).withColumnRenamed("margin_pct", "val")
+    return compare.year_over_year(m).where(F.abs("absolute_change") >= 5).select("company", "concept", "fiscal_year", "fiscal_period", F.round("absolute_change", 6).alias("points"))
+
+
+@OTHER.add(
+    "report_metric_rows",
+    _CANON + f", {_YOY} SELECT company, concept, fiscal_year, fiscal_period, current_value, prior_value, NULL::VARCHAR note FROM y UNION ALL SELECT company, concept, fiscal_year, fiscal_period, val, NULL, 'No comparable prior figure' FROM cf WHERE (company, concept, fiscal_year, fiscal_period) NOT IN (SELECT (company, concept, fiscal_year, fiscal_period) FROM y)",
+)
+def report_metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _canon(spark, sf_dir)
+    return report.metric_rows(f, compare.year_over_year(f)).drop("percent_change")
+
+
+@OTHER.add(
+    "report_provenance",
+    _CANON + "SELECT concept, CASE WHEN source = 'html_table_fallback' THEN 'html_table_fallback' WHEN starts_with(source_tag, 'derived:') THEN 'derived' WHEN source IS NOT NULL THEN 'xbrl' ELSE 'unknown' END provenance, count(*) n FROM cf GROUP BY ALL",
+)
+def report_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _canon(spark, sf_dir).groupBy("concept", report.provenance(F.col("source"), F.coalesce("source_tag", F.lit(""))).alias("provenance")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@OTHER.add("report_memos")
+def report_memos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _canon(spark, sf_dir)
+    y = compare.year_over_year(f)
+    flags = report.threshold_flags(y, F.col("percent_change"), 20.0, "METRIC_CHANGE", F.col("concept"), F.concat_ws(" ", "fiscal_year", "fiscal_period"), ["company"])
+    return report.memo_markdown(report.metric_rows(f, y), flags, "company")
