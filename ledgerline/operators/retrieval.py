@@ -45,7 +45,8 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
 def top(scored: DataFrame, k: int, by: list[str], score: str = "score", item: str = "doc_id") -> DataFrame:
     """The k best per group with their rank from 0; ties by item."""
     w = Window.partitionBy(*by).orderBy(F.col(score).desc(), F.col(item))
-    return scored.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+    # The filter is on row_number itself, so that each task keeps no more than k per group before the shuffle.
+    return scored.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).withColumn("rank", F.col("_rn") - 1).drop("_rn")
 
 
 def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> DataFrame:
