@@ -140,20 +140,20 @@ def flat_children(records: DataFrame, id_col: str = "raw_id", payload: str = "pa
         enclosing(cases, "pos").alias("case"),
         enclosing(facts, "pos").alias("fact"),
     )
-    place = F.coalesce("pos", F.lit(0))
-    # filings: accession and form nodes of the same 'recent' node and position
-    filings = (
-        linked.where(F.col("recent").isNotNull() & scalar & path.isin(*ACCESSIONS, *FORMS))
-        .groupBy("record_no", "record_id", F.col("recent.pre").alias("up"), place.alias("item_pos"))
-        .agg(F.max(F.when(path.isin(*ACCESSIONS), F.col("value"))).alias("item_key"), F.max(F.when(path.isin(*FORMS), F.col("value"))).alias("item_label"))
-        .where(F.col("item_key").isNotNull())
-        .select("record_id", F.lit(-1).alias("case_pos"), "item_pos", "item_key", F.coalesce("item_label", F.lit("")).alias("item_label"))
+    # The case_id of a case, for all nodes in it; records are already together, so this and the grouping only sort.
+    of_case = F.max(F.when(path.isin(*CASE_IDS) & scalar, F.col("value"))).over(Window.partitionBy("record_no", "case.pre"))
+    is_fact = path.isin(*CONCEPTS) & F.col("fact").isNotNull()
+    is_filing = path.isin(*ACCESSIONS, *FORMS) & F.col("recent").isNotNull()
+    children = (
+        linked.withColumn("case_id", of_case).where(scalar & (is_fact | is_filing))
+        .groupBy(
+            "record_no", "record_id", is_fact.alias("is_fact"), F.when(is_fact, F.col("fact.pre")).otherwise(F.col("recent.pre")).alias("up"),
+            F.when(is_fact, F.coalesce("case.pos", F.lit(0))).otherwise(-1).alias("case_pos"), F.when(is_fact, F.coalesce("fact.pos", F.lit(0))).otherwise(F.coalesce("pos", F.lit(0))).alias("item_pos"),
+        )
+        .agg(
+            F.max(F.when(is_fact, F.coalesce("case_id", F.lit(""))).when(path.isin(*ACCESSIONS), F.col("value"))).alias("item_key"),
+            F.coalesce(F.max(F.when(is_fact | path.isin(*FORMS), F.col("value"))), F.lit("")).alias("item_label"),
+        )
+        .where("item_key is not null")
     )
-    ids = F.max(F.when(path.isin(*CASE_IDS) & scalar, F.col("value"))).over(Window.partitionBy("record_no", "case.pre"))
-    expected = (
-        linked.where(F.col("case").isNotNull() & scalar & path.isin(*CASE_IDS, *CONCEPTS))
-        .withColumn("item_key", F.coalesce(ids, F.lit("")))
-        .where(path.isin(*CONCEPTS) & F.col("fact").isNotNull())
-        .select("record_id", F.coalesce("case.pos", F.lit(0)).alias("case_pos"), F.coalesce("fact.pos", F.lit(0)).alias("item_pos"), "item_key", F.col("value").alias("item_label"))
-    )
-    return filings.unionByName(expected).select(F.col("record_id").alias("raw_id"), "case_pos", "item_pos", "item_key", "item_label")
+    return children.select(F.col("record_id").alias("raw_id"), "case_pos", "item_pos", "item_key", "item_label")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -46,3 +46,24 @@ def citation_support(claims: DataFrame, chunks: DataFrame) -> DataFrame:
     j = c.join(chunks.select("chunk_id", "text"), "chunk_id", "left").groupBy("claim_id").agg(F.first("phrases").alias("phrases"), F.first("n").alias("n"), F.count("text").alias("have"), F.array_sort(F.collect_list(F.struct("at", "text"))).alias("t"))
     text = F.lower(F.array_join(F.col("t.text"), " "))
     return j.select("claim_id", ((F.col("n") == F.col("have")) & F.forall("phrases", lambda p: text.contains(F.lower(p)))).alias("supported"))
+
+
+def required_join(left: DataFrame, right: DataFrame, keys: list[str], what: str) -> DataFrame:
+    """Left join that fails the query where the right side has no row for a key, or several."""
+    r = right.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    j = left.join(r, keys, "left")
+    ok = F.assert_true(F.coalesce(F.col("_n"), F.lit(0)) == 1, F.concat(F.lit(f"{what}: no single row for "), F.concat_ws("/", *keys)))
+    return j.where(ok.isNull()).drop("_n")
+
+
+def review_progress(labels: DataFrame) -> DataFrame:
+    """Per accession: labels, filled ones, queries, and queries whose filled labels have none relevant.
+    labels: (accession_number, query_id, chunk_id, relevant boolean or null)."""
+    per = labels.groupBy("accession_number", "query_id").agg(F.count(F.lit(1)).alias("n"), F.count("relevant").alias("filled"), F.max("relevant").alias("any"))
+    return per.groupBy("accession_number").agg(F.sum("n").alias("labels"), F.sum("filled").alias("filled"), F.count(F.lit(1)).alias("queries"), F.count_if(F.col("any") == F.lit(False)).alias("without_relevant"))
+
+
+def size_gate(cases: DataFrame, companies: int = 5, queries: int = 30) -> DataFrame:
+    """(companies, queries, unique, enough) of benchmark cases (company, query_id): large enough, and no query id twice."""
+    n = cases.agg(F.count_distinct("company").alias("companies"), F.count_distinct("query_id").alias("queries"), F.count("query_id").alias("rows"))
+    return n.select("companies", "queries", (F.col("queries") == F.col("rows")).alias("unique"), ((F.col("companies") >= companies) & (F.col("queries") >= queries)).alias("enough"))
