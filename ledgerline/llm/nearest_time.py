@@ -9,6 +9,7 @@ history.
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,38 +21,47 @@ from ledgerline.session import materialize, shared_path
 
 DAY_MS = 86_400_000
 SLICES = 6
+#: Entities whose buffers share one state, as each call of the state function has its price.
+ENTITIES_PER_STATE = 50
 #: Rows of a feed file; a slice is as many files as it takes, read as one batch.
 ROWS_PER_FILE = 2_000_000
 _OUT = "entity bigint, class string, left_day int, right_day int, right_id bigint"
 
 
-def nearest(left_day: int, rights: dict[int, int], tolerance: int) -> tuple[int, int] | None:
-    """(right day, id) with the fewest days between, at most tolerance; the earlier day on a tie."""
-    best = min(((abs(d - left_day), d) for d in rights if abs(d - left_day) <= tolerance), default=None)
-    return (best[1], rights[best[1]]) if best else None
+def nearest(left_day: int, days: list[int], tolerance: int) -> int | None:
+    """Of sorted days the one with the fewest days between, at most tolerance; the earlier one on a tie."""
+    at = bisect_left(days, left_day)
+    near = min(((abs(d - left_day), d) for d in days[max(0, at - 1) : at + 1]), default=None)
+    return near[1] if near and near[0] <= tolerance else None
 
 
 def _step(tolerance: int):
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, rights = json.loads(state.get[0]) if state.exists else ([], [])
-        rights = dict(map(tuple, rights))
-        waiting = set(waiting)
+        held: dict[tuple, tuple[set[int], dict[int, int]]] = {}
+        if state.exists:
+            held = {(e, c): (set(w), dict(map(tuple, r))) for e, c, w, r in json.loads(state.get[0])}
         for f in frames:
-            for side, day, rid in zip(f["side"], f["day"], f["right_id"]):
+            for entity, cls, side, day, rid in zip(*(f[c].tolist() for c in ("entity", "class", "side", "day", "right_id"))):
+                waiting, rights = held.setdefault((entity, cls), (set(), {}))
                 if side == 0:
-                    waiting.add(int(day))
+                    waiting.add(day)
                 elif side == 1:
-                    rights[int(day)] = min(int(rid), rights.get(int(day), int(rid)))
+                    rights[day] = min(rid, rights.get(day, rid))
         mark = state.getCurrentWatermarkMs() // DAY_MS  # whole days known to be over are those before it
-        ready = sorted(d for d in waiting if d + tolerance < mark)
-        out = [(key[0], key[1], d, *hit) for d in ready if (hit := nearest(d, rights, tolerance))]
-        waiting.difference_update(ready)
-        low = min([*waiting, mark]) - tolerance
-        rights = {d: i for d, i in rights.items() if d >= low}
-        if waiting or rights:
-            state.update((json.dumps([sorted(waiting), sorted(rights.items())]),))
-            nxt = min(waiting) + tolerance + 1 if waiting else max(rights) + tolerance + 1
-            state.setTimeoutTimestamp(int(max(nxt * DAY_MS, state.getCurrentWatermarkMs() + 1)))
+        out, kept, wake = [], [], []
+        for (entity, cls), (waiting, rights) in held.items():
+            days = sorted(rights)
+            ready = sorted(d for d in waiting if d + tolerance < mark)
+            out += [(entity, cls, d, hit, rights[hit]) for d in ready if (hit := nearest(d, days, tolerance)) is not None]
+            waiting.difference_update(ready)
+            low = min([*waiting, mark]) - tolerance
+            rights = [(d, rights[d]) for d in days if d >= low]
+            if waiting or rights:
+                kept.append((entity, cls, sorted(waiting), rights))
+                wake.append((min(waiting) if waiting else rights[-1][0]) + tolerance + 1)
+        if kept:
+            state.update((json.dumps(kept),))
+            state.setTimeoutTimestamp(int(max(min(wake) * DAY_MS, state.getCurrentWatermarkMs() + 1)))
         elif state.exists:
             state.remove()
         if out:
@@ -77,14 +87,15 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tolerance: int, slices: i
         right.select("entity", "class", as_day("day").alias("day"), "right_id").dropna().groupBy("entity", "class", "day").agg(F.min("right_id").alias("right_id")).withColumn("side", F.lit(1))
     )
     log = materialize(both, "nearest-log")
-    rows, lo, hi, cuts = log.agg(F.count(F.lit(1)), F.min("day"), F.max("day"), F.percentile_approx("day", [i / slices for i in range(1, slices)], 1000)).first()
+    rows, entities, lo, hi, cuts = log.agg(F.count(F.lit(1)), F.approx_count_distinct(F.struct("entity", "class")), F.min("day"), F.max("day"), F.percentile_approx("day", [i / slices for i in range(1, slices)], 1000)).first()
     result = "entity bigint, class string, day date, right_day date, right_id bigint"
     if lo is None:
         return spark.createDataFrame([], result)
     edges = [lo, *sorted({c + 1 for c in cuts if lo < c + 1 <= hi}), hi + 1]
     per_batch = max(1, -(-rows // (slices * ROWS_PER_FILE)))
     feed, out, state = (shared_path(spark, f"nearest-{x}") for x in ("feed", "out", "state"))
-    stamped = lambda df: df.withColumn("ts", F.timestamp_seconds(F.col("day").cast("bigint") * 86_400))
+    share = F.pmod(F.xxhash64("entity", "class"), F.lit(max(64, entities // ENTITIES_PER_STATE)))
+    stamped = lambda df: df.withColumn("share", share).withColumn("ts", F.timestamp_seconds(F.col("day").cast("bigint") * 86_400))
     for a, b in zip(edges, edges[1:]):  # one write a slice: file times then follow event time
         stamped(log.where((F.col("day") >= a) & (F.col("day") < b)).repartition(per_batch)).write.mode("append").parquet(feed)
     # Where every slice has just the files of one batch, none is late; else the watermark lags by the longest slice.
@@ -98,7 +109,7 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tolerance: int, slices: i
     paired = (
         spark.readStream.schema(spark.read.parquet(feed).schema).option("maxFilesPerTrigger", per_batch).parquet(feed)
         .withWatermark("ts", f"{lag} days")
-        .groupBy("entity", "class")
+        .groupBy("share")
         .applyInPandasWithState(_step(tolerance), _OUT, "buffer string", "append", GroupStateTimeout.EventTimeTimeout)
     )
     query = paired.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
