@@ -181,6 +181,17 @@ def test_packed_keys_round_trip(n):
     assert neardup.unpack_keys(neardup.pack_keys(k), n).tolist() == k.tolist()
 
 
+def test_encoded_tokens_round_trip():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 1 << 32, n, dtype=np.uint32)) for n in (1, 2, 7, 8, 9, 80, 3000)] + [np.array([0, 2**32 - 1], np.uint32)]
+    size = np.array([len(x) for x in sets])
+    coded = neardup.encode_tokens(size, np.concatenate(sets))
+    n, tokens = neardup.decode_tokens(pa.array(coded, pa.binary()))
+    assert n.tolist() == size.tolist() and tokens.tolist() == np.concatenate(sets).tolist()
+
+
 # ---- 4 -----------------------------------------------------------------------------------------------------------
 
 
