@@ -57,7 +57,11 @@ def year_quarter_index(year: Column, period: Column) -> Column:
     return F.when(p.rlike("^q[1-4]$"), year * 4 + F.substring(p, 2, 1).try_cast("int") - 1)
 
 
+# What counts as whitespace beside the plain kinds; listed, as the regex engine's Unicode classes are slow.
+WHITESPACE = r"[\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
 def collapse_space(text: Column | str) -> Column:
     """Each whitespace run (no-break space included) as one blank, outer ones removed."""
     t = F.col(text) if isinstance(text, str) else text
-    return F.trim(F.regexp_replace(t, r"(?U)[\s ]+", " "))
+    return F.trim(F.regexp_replace(t, WHITESPACE, " "))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.normalize import collapse_space
+from ledgerline.session import materialize
 
 # Words by topic, found anywhere in the lower-cased text.
 TOPICS = {
@@ -46,15 +47,22 @@ def comparable_text(text: Column) -> Column:
 
 def sentences_of(text: Column) -> Column:
     """Comparable sentences of a normalized text: of at least MIN_WORDS words, or the whole text if none is."""
-    parts = F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: s != "")
-    long = F.filter(parts, lambda s: F.size(F.split(s, " ")) >= MIN_WORDS)
-    return F.when(F.size(long) > 0, long).otherwise(F.filter(F.array(text), lambda s: s != ""))
+    return _comparable(F.split(text, _SENTENCE_GAP), text)
+
+
+_SENTENCE_GAP = r"(?<=[.!?])\s+"
+
+
+def _comparable(parts: Column, text: Column) -> Column:
+    words = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))) + 1
+    long = F.filter(parts, lambda s: (s != "") & (words(s) >= MIN_WORDS))
+    return F.coalesce(F.nullif(long, F.array().cast("array<string>")), F.filter(F.array(text), lambda s: s != ""))
 
 
 def sentence_table(passages: DataFrame) -> DataFrame:
     """(company, accession_number, passage_id, chunk_id, pos, sentence) of passages (…, text)."""
-    norm = passages.where(F.col("text").isNotNull()).withColumn("_t", comparable_text(F.col("text")))
-    return norm.select("company", "accession_number", "passage_id", "chunk_id", F.posexplode(sentences_of(F.col("_t"))).alias("pos", "sentence"))
+    p = passages.where(F.col("text").isNotNull()).withColumn("_t", comparable_text(F.col("text"))).withColumn("_p", F.split("_t", _SENTENCE_GAP))
+    return p.select("company", "accession_number", "passage_id", "chunk_id", F.posexplode(_comparable(F.col("_p"), F.col("_t"))).alias("pos", "sentence"))
 
 
 def _close(threshold: float):
@@ -89,6 +97,8 @@ def matched_sentences(current: DataFrame, pairs: DataFrame, prior: DataFrame, th
     equal = cur.join(p, ["prior_accession", "sentence"]).select("passage_id", "pos", "old")
     rest = cur.join(p, ["prior_accession", "sentence"], "left_anti").groupBy("accession_number", "prior_accession", "sentence").agg(F.collect_list(F.struct("passage_id", "pos")).alias("at"))
     la, lb = F.length("sentence"), F.length("old_sentence")
+    # Little data, much work: dealt by number, so that small partitions are not merged into a few tasks.
+    rest = rest.repartition(int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "prior_accession")
     cand = rest.join(p.withColumnRenamed("sentence", "old_sentence"), "prior_accession").where(2.0 * F.least(la, lb) >= threshold * (la + lb))
     near = cand.select("sentence", "old_sentence", "at", "old").mapInArrow(_close(threshold), "sentence string, at array<struct<passage_id:bigint,pos:int>>, old struct<passage_id:bigint,pos:int,chunk_id:string>")
     fuzzy = near.select(F.explode("at").alias("a"), "old").groupBy("a.passage_id", "a.pos").agg(F.min("old").alias("old"))
@@ -106,7 +116,8 @@ def passage_changes(passages: DataFrame, pairs: DataFrame, threshold: float = SE
     Without a baseline filing with passages the status is 'unestablished' and similarity null. The prior chunk is the
     one most sentences come from, then the earliest. Null and empty texts have no sentence and give no row.
     """
-    s = sentence_table(passages)
+    # Used five times below; written once, as the regular expressions cost more than the table.
+    s = materialize(sentence_table(passages), "sentences")
     stored = s.select(F.col("accession_number").alias("prior_accession")).distinct()
     usable_pairs = pairs.where("prior_accession is not null").join(stored, "prior_accession")
     m = matched_sentences(s, usable_pairs, s, threshold)

@@ -47,7 +47,8 @@ MOST_PARTITIONS = 50_000
 
 
 def partitions_for(df: DataFrame) -> int:
-    """Shuffle partitions by the planner's size of df, at least as many as the session asks for."""
+    """Shuffle partitions by the planner's size of df, at least as many as the session asks for. For scans and what
+    narrows them; sizes the planner gives joins are products."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= 1 << 60:  # the planner knows no size
