@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,19 +66,35 @@ def sentence_table(passages: DataFrame) -> DataFrame:
     return p.select("company", "accession_number", "passage_id", "chunk_id", F.posexplode(_comparable(F.col("_p"), F.col("_t"))).alias("pos", "sentence"))
 
 
+def _counts(texts: list[str]) -> np.ndarray:
+    """Characters per text in 64 classes by code."""
+    out = np.zeros((len(texts), 64), np.int32)
+    for i, t in enumerate(texts):
+        codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) & 63
+        out[i] = np.bincount(codes, minlength=64)
+    return out
+
+
 def _close(threshold: float):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = difflib.SequenceMatcher(autojunk=False)
         for batch in batches:
-            cur, old = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("sentence", "old_sentence"))
-            keep, last = [], None
-            for i, (b, a) in enumerate(zip(cur, old)):
-                if b != last:
-                    m.set_seq2(b)
-                    last = b
-                m.set_seq1(a)
-                # quick_ratio is an upper bound of ratio
-                if m.quick_ratio() >= threshold and m.ratio() >= threshold:
+            if not batch.num_rows:
+                continue
+            cur, old = (batch.column(batch.schema.get_field_index(c)).dictionary_encode() for c in ("sentence", "old_sentence"))
+            a, b = cur.indices.to_numpy(), old.indices.to_numpy()
+            cur, old = cur.dictionary.to_pylist(), old.dictionary.to_pylist()
+            x, y = _counts(cur), _counts(old)
+            # Shared characters, whatever their order, bound the ratio from above; classes only raise the bound.
+            size = x.sum(1)[a] + y.sum(1)[b]
+            near = np.flatnonzero(2.0 * np.minimum(x[a], y[b]).sum(1) >= threshold * size - 1e-9)
+            keep, last = [], -1
+            for i in near.tolist():
+                if a[i] != last:
+                    m.set_seq2(cur[a[i]])
+                    last = a[i]
+                m.set_seq1(old[b[i]])
+                if m.ratio() >= threshold:
                     keep.append(i)
             if keep:
                 yield batch.take(pa.array(keep)).drop_columns(["old_sentence"])
