@@ -192,6 +192,37 @@ def test_encoded_tokens_round_trip():
     assert n.tolist() == size.tolist() and tokens.tolist() == np.concatenate(sets).tolist()
 
 
+def test_no_pair_at_the_threshold_is_lost(spark):
+    """Pairs of exactly 0.6, of like and of unlike size, among texts that share frequent shingles."""
+    rnd, rows = random.Random(11), []
+    common = [f"c{k}" for k in range(30)]
+    for base in range(1500):
+        own = [f"b{base}x{k}" for k in range(rnd.choice([52, 62]))]
+        kept = 3 * (len(own) + 28) // 5 - 28
+        rows.append((2 * base, " ".join(common + own)))
+        rows.append((2 * base + 1, " ".join(common + own[:kept])))
+    for base in range(1500):
+        a, b, both = ([f"{s}{base}y{k}" for k in range(n)] for s, n in (("l", 10), ("r", 10), ("m", 32)))
+        rows.append((4000 + 2 * base, " ".join(a + both)))
+        rows.append((4001 + 2 * base, " ".join(b + both)))
+    sets = {i: shingles(x) for i, x in rows}
+    near = [(i, i + 1) for i in range(0, 7000, 2) if i in sets and 8 * len(sets[i] & sets[i + 1]) >= 3 * (len(sets[i]) + len(sets[i + 1]))]
+    exact = [p for p in near if 5 * len(sets[p[0]] & sets[p[1]]) == 3 * len(sets[p[0]] | sets[p[1]])]
+    assert len(exact) == 3000
+    assert set(near) <= set(found(spark, rows))
+
+
+@pytest.mark.parametrize("large", [1, 40])
+def test_buckets_over_the_limit_are_dealt(spark, large):
+    rnd = random.Random(9)
+    words = [f"w{k}" for k in range(150)]
+    rows = [(i, edited(rnd, words[: rnd.randrange(90, 150)], rnd.randrange(6))) for i in range(150)]
+    texts = spark.createDataFrame(rows, "id bigint, text string")
+    classes = {frozenset(shingles(x)) for _, x in rows}
+    want = sum(8 * len(x & y) >= 3 * (len(x) + len(y)) for n, x in enumerate(list(classes)) for y in list(classes)[:n])
+    assert neardup.class_links(texts, large=large).count() == want
+
+
 # ---- 4 -----------------------------------------------------------------------------------------------------------
 
 
