@@ -577,6 +577,22 @@ def eval_citation_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.citation_support(claims, chunks)
 
 
+@OTHER.add(
+    "eval_citation_whole_phrases",
+    """WITH c AS (SELECT accession_number || '/' || chunk_id cid, string_agg(text, ' ' ORDER BY text) text FROM (SELECT DISTINCT accession_number, chunk_id, text FROM narrative_passages) WHERE text IS NOT NULL GROUP BY ALL),
+ch AS (SELECT DISTINCT passage_id, accession_number || '/' || prior_chunk_id cid, diff_summary phrase FROM passage_changes WHERE accession_number IS NOT NULL AND prior_chunk_id IS NOT NULL AND diff_summary IS NOT NULL)
+SELECT ch.cid || '#' || coalesce(passage_id::VARCHAR, '') || '#' || md5(phrase) claim_id, (c.text IS NOT NULL AND contains(lower(c.text), lower(phrase))) supported FROM ch LEFT JOIN c ON c.cid = ch.cid""",
+)
+def eval_citation_whole_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct change of a passage is a claim, its whole summary the phrase."""
+    p = table(spark, sf_dir, "narrative_passages", "accession_number", "chunk_id", "text").distinct().where("text is not null")
+    chunks = p.select(F.concat("accession_number", F.lit("/"), "chunk_id").alias("chunk_id"), "text").where("chunk_id is not null").groupBy("chunk_id").agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("text"))
+    ch = table(spark, sf_dir, "passage_changes", "passage_id", "accession_number", "prior_chunk_id", "diff_summary").where("accession_number is not null and prior_chunk_id is not null and diff_summary is not null").distinct()
+    key = F.concat("accession_number", F.lit("/"), "prior_chunk_id")
+    claims = ch.select(F.concat(key, F.lit("#"), F.coalesce(F.col("passage_id").cast("string"), F.lit("")), F.lit("#"), F.md5("diff_summary")).alias("claim_id"), F.array(key).alias("cited"), F.array("diff_summary").alias("phrases"))
+    return records.citation_support(claims, chunks)
+
+
 _REC = f"""WITH {_EV}, one AS (SELECT accession_number, arg_min(company, event_id) company, arg_min(form, event_id) form, arg_min(filing_date, event_id) filing_date FROM ev WHERE accession_number IS NOT NULL GROUP BY ALL),
 n AS (SELECT {_ACC} accession_number, count(*) FILTER (WHERE lower(trim(status)) <> 'unchanged') notable FROM passage_changes GROUP BY ALL)
 SELECT one.accession_number, lpad(company::VARCHAR, 10, '0') company_cik, form, filing_date, coalesce(notable, 0) notable FROM one LEFT JOIN n USING (accession_number) WHERE coalesce(notable, 0) > 0 ORDER BY filing_date DESC NULLS LAST, accession_number DESC LIMIT 50"""

@@ -6,6 +6,7 @@ from datetime import date
 import numpy as np
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from ledgerline.operators import filings, narrative, records, retrieval
 
 
@@ -96,3 +97,12 @@ def test_records(spark):
     chunks = spark.createDataFrame([("c1", "the red fox"), ("c2", "a pie")], "chunk_id string, text string")
     assert {x.claim_id: x.supported for x in records.citation_support(claims, chunks).collect()} == {1: True, 2: False, 3: False}
     assert {x.k: x.v for x in records.upsert(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c")], "k int, v string"), "k").collect()} == {1: "a", 2: "c"}
+
+
+def test_citations_take_whole_phrases_of_every_change(spark, tmp_path):
+    d = str(tmp_path)
+    spark.createDataFrame([(1, "A", "c1", "Revenue grew by ten percent in the year"), (2, "A", "c2", "Costs fell")], "passage_id bigint, accession_number string, chunk_id string, text string").write.parquet(f"{d}/narrative_passages.parquet")
+    changes = [(7, "A", "c1", "revenue grew by ten percent"), (7, "A", "c1", "Revenue grew by ten percent in every year"), (7, "A", "c2", "costs fell"), (7, "A", "c2", "costs fell"), (8, "A", "c9", "costs"), (9, "A", None, "costs")]
+    spark.createDataFrame(changes, "passage_id bigint, accession_number string, prior_chunk_id string, diff_summary string").write.parquet(f"{d}/passage_changes.parquet")
+    rows = entry.queries()["eval_citation_whole_phrases"](spark, d).collect()
+    assert sorted((r.claim_id.rpartition("#")[0], r.supported) for r in rows) == [("A/c1#7", False), ("A/c1#7", True), ("A/c2#7", True), ("A/c9#8", False)]
