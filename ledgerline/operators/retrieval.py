@@ -138,6 +138,14 @@ def overlap(query: Column, text: Column) -> Column:
     return F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect(q, d)) / F.size(q))
 
 
+def overlap_by_term(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(grp, query_id, doc_id, score) of docs (grp, doc_id, text) that share a term with queries (query_id, query): overlap
+    as a join on terms, for query sets that grow with the data."""
+    q = queries.select("query_id", F.array_distinct(blank_tokens(F.col("query"))).alias("t")).select("query_id", F.size("t").alias("size"), F.explode("t").alias("term"))
+    d = docs.select("grp", "doc_id", F.explode(F.array_distinct(blank_tokens(F.col("text")))).alias("term"))
+    return d.join(q, "term").groupBy("grp", "query_id", "doc_id").agg((F.count(F.lit(1)) / F.first("size")).alias("score"))
+
+
 def precision_at_k(hits: DataFrame, relevant: DataFrame) -> DataFrame:
     """Micro precision: relevant and returned over returned, of hits and relevant (query_id, doc_id)."""
     r = relevant.select("query_id", "doc_id").distinct().withColumn("ok", F.lit(1))

@@ -499,6 +499,60 @@ def search_reranked_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _overlap(_chunk_corpus(spark, sf_dir), _queries(spark)).where("rank < 5")
 
 
+# The same searches with every row whose id is divisible by 100 as a query, against all rows but itself.
+
+_BLANK = "list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '')"
+
+
+def _rows_sql(docs: str) -> str:
+    """_bm25_sql with the queries taken from docs."""
+    whole = _bm25_sql(docs).replace(_Q + ", ", "").replace("qt AS", "q AS (SELECT doc_id query_id, text query FROM d WHERE doc_id % 100 = 0), qt AS")
+    return whole.replace("string_split(query, ' ')", _BLANK.format("query")).replace("FROM sc)", "FROM sc WHERE query_id <> doc_id)")
+
+
+_ROWS_OVER = f"""qd AS (SELECT query_id, list_distinct({_BLANK.format("query")}) qs FROM q), dd AS (SELECT grp, doc_id, list_distinct({_BLANK.format("text")}) ds FROM d),
+ov AS (SELECT grp, query_id, doc_id, len(list_intersect(qs, ds))::DOUBLE / len(qs) score FROM dd JOIN qd ON query_id <> doc_id WHERE len(qs) > 0),
+ot AS (SELECT *, row_number() OVER (PARTITION BY grp, query_id ORDER BY score DESC, doc_id) - 1 rank FROM ov WHERE score > 0)"""
+
+
+def _row_queries(corpus: DataFrame) -> DataFrame:
+    return corpus.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def _others(scored: DataFrame) -> DataFrame:
+    return scored.where("query_id != doc_id")
+
+
+@RETRIEVAL.add("search_bm25_documents_rows", _rows_sql(_DOCS_SQL) + "SELECT query_id, doc_id, rank::INT rank, round(score::DECIMAL(28, 6), 4)::DOUBLE score FROM tp WHERE rank < 10")
+def search_bm25_documents_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = _doc_corpus(spark, sf_dir)
+    return retrieval.top(_others(retrieval.bm25(corpus, _row_queries(corpus))), 10, ["grp", "query_id"]).select("query_id", "doc_id", "rank", F.round(F.col("score").cast("decimal(28,6)"), 4).cast("double").alias("score"))
+
+
+@RETRIEVAL.add("search_bm25_filings_rows", _rows_sql(_CHUNKS_SQL) + "SELECT grp, query_id, doc_id, rank::INT rank FROM tp WHERE rank < 3")
+def search_bm25_filings_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = _chunk_corpus(spark, sf_dir)
+    return retrieval.top(_others(retrieval.bm25(corpus, _row_queries(corpus))), 3, ["grp", "query_id"]).select("grp", "query_id", "doc_id", "rank")
+
+
+@RETRIEVAL.add(
+    "search_fused_filings_rows",
+    _rows_sql(_CHUNKS_SQL).rstrip() + f""", {_ROWS_OVER}, u AS (SELECT grp, query_id, doc_id, rank FROM tp UNION ALL SELECT grp, query_id, doc_id, rank FROM ot),
+f AS (SELECT grp, query_id, doc_id, round(sum((1.0::DOUBLE / (60 + rank))::DECIMAL(28, 15))::DOUBLE, 9) score FROM u GROUP BY ALL) SELECT grp, query_id, doc_id, rank::INT rank, score FROM (SELECT *, row_number() OVER (PARTITION BY grp, query_id ORDER BY score DESC, doc_id) - 1 rank FROM f) WHERE rank < 5""",
+)
+def search_fused_filings_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = _chunk_corpus(spark, sf_dir)
+    q = _row_queries(corpus)
+    ranked = [retrieval.top(_others(s), 2**31 - 1, ["grp", "query_id"]) for s in (retrieval.bm25(corpus, q), retrieval.overlap_by_term(corpus, q))]
+    return retrieval.fuse(ranked, ["grp", "query_id"], 5).select("grp", "query_id", "doc_id", "rank", "score")
+
+
+@RETRIEVAL.add("search_reranked_filings_rows", f"WITH d AS ({_CHUNKS_SQL}), q AS (SELECT doc_id query_id, text query FROM d WHERE doc_id % 100 = 0), {_ROWS_OVER} SELECT grp, query_id, doc_id, rank::INT rank, score FROM ot WHERE rank < 5")
+def search_reranked_filings_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = _chunk_corpus(spark, sf_dir)
+    return retrieval.top(_others(retrieval.overlap_by_term(corpus, _row_queries(corpus))), 5, ["grp", "query_id"]).select("grp", "query_id", "doc_id", "rank", "score")
+
+
 _VOCAB = """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{M}\\p{N}_]{2,}')) term FROM (SELECT doc_id, text FROM documents WHERE lower(trim(lang)) = 'en')), p AS (SELECT doc_id, term, count(*) tf FROM t GROUP BY ALL),
 v AS (SELECT term, sum(tf)::BIGINT n, count(*) df FROM p GROUP BY ALL ORDER BY n DESC, term LIMIT 256), vi AS (SELECT term, n, df, ln((1 + (SELECT count(*) FROM documents WHERE lower(trim(lang)) = 'en'))::DOUBLE / (1 + df)) + 1 idf FROM v)
 """

@@ -106,3 +106,15 @@ def test_citations_take_whole_phrases_of_every_change(spark, tmp_path):
     spark.createDataFrame(changes, "passage_id bigint, accession_number string, prior_chunk_id string, diff_summary string").write.parquet(f"{d}/passage_changes.parquet")
     rows = entry.queries()["eval_citation_whole_phrases"](spark, d).collect()
     assert sorted((r.claim_id.rpartition("#")[0], r.supported) for r in rows) == [("A/c1#7", False), ("A/c1#7", True), ("A/c2#7", True), ("A/c9#8", False)]
+
+
+def test_searches_take_every_hundredth_row_as_query(spark, tmp_path):
+    d = str(tmp_path)
+    docs = [(100, "red apple pie"), (200, "blue whale"), (300, None), (1, "apple pie"), (2, "whale song"), (3, "pie"), (4, "stone")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, "A", "prose", x) for i, x in docs], "chunk_key bigint, accession_number string, kind string, text string").write.parquet(f"{d}/chunks.parquet")
+    got = {n: {} for n in ("search_bm25_documents_rows", "search_bm25_filings_rows", "search_fused_filings_rows", "search_reranked_filings_rows")}
+    for name, by in got.items():
+        for r in entry.queries()[name](spark, d).orderBy("query_id", "rank").collect():
+            by.setdefault(r.query_id, []).append(r.doc_id)
+    assert all(x == {100: [1, 3], 200: [2]} for x in got.values())
