@@ -35,7 +35,9 @@ def nearest(left_day: int, days: list[int], tolerance: int) -> int | None:
     return near[1] if near and near[0] <= tolerance else None
 
 
-def _step(tolerance: int):
+def _step(tolerance: int, shift: int):
+    """shift: the day that the stream's first watermark stands for."""
+
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held: dict[tuple, tuple[set[int], dict[int, int]]] = {}
         if state.exists:
@@ -47,7 +49,7 @@ def _step(tolerance: int):
                     waiting.add(day)
                 elif side == 1:
                     rights[day] = min(rid, rights.get(day, rid))
-        mark = state.getCurrentWatermarkMs() // DAY_MS  # whole days known to be over are those before it
+        mark = state.getCurrentWatermarkMs() // DAY_MS + shift  # whole days known to be over are those before it
         out, kept, wake = [], [], []
         for (entity, cls), (waiting, rights) in held.items():
             days = sorted(rights)
@@ -61,7 +63,7 @@ def _step(tolerance: int):
                 wake.append((min(waiting) if waiting else rights[-1][0]) + tolerance + 1)
         if kept:
             state.update((json.dumps(kept),))
-            state.setTimeoutTimestamp(int(max(min(wake) * DAY_MS, state.getCurrentWatermarkMs() + 1)))
+            state.setTimeoutTimestamp(int(max((min(wake) - shift) * DAY_MS, state.getCurrentWatermarkMs() + 1)))
         elif state.exists:
             state.remove()
         if out:
@@ -95,7 +97,8 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tolerance: int, slices: i
     per_batch = max(1, -(-rows // (slices * ROWS_PER_FILE)))
     feed, out, state = (shared_path(spark, f"nearest-{x}") for x in ("feed", "out", "state"))
     share = F.pmod(F.xxhash64("entity", "class"), F.lit(max(64, entities // ENTITIES_PER_STATE)))
-    stamped = lambda df: df.withColumn("share", share).withColumn("ts", F.timestamp_seconds(F.col("day").cast("bigint") * 86_400))
+    shift = lo - 1  # event time begins a day after the first watermark, 1970-01-01, so no day is late, however early
+    stamped = lambda df: df.withColumn("share", share).withColumn("ts", F.timestamp_seconds((F.col("day") - shift).cast("bigint") * 86_400))
     for a, b in zip(edges, edges[1:]):  # one write a slice: file times then follow event time
         stamped(log.where((F.col("day") >= a) & (F.col("day") < b)).repartition(per_batch)).write.mode("append").parquet(feed)
     # Where every slice has just the files of one batch, none is late; else the watermark lags by the longest slice.
@@ -110,7 +113,7 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tolerance: int, slices: i
         spark.readStream.schema(spark.read.parquet(feed).schema).option("maxFilesPerTrigger", per_batch).parquet(feed)
         .withWatermark("ts", f"{lag} days")
         .groupBy("share")
-        .applyInPandasWithState(_step(tolerance), _OUT, "buffer string", "append", GroupStateTimeout.EventTimeTimeout)
+        .applyInPandasWithState(_step(tolerance, shift), _OUT, "buffer string", "append", GroupStateTimeout.EventTimeTimeout)
     )
     query = paired.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()

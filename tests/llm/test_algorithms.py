@@ -249,3 +249,11 @@ def test_nearest_in_time_empty_sides(spark):
     r = spark.createDataFrame([(1, "Q", D0, 5)], "entity bigint, class string, day date, right_id bigint")
     assert nearest_in_time(l.where("false"), r.where("false"), 45).count() == 0
     assert nearest_in_time(l, r.where("false"), 45).count() == 0
+
+
+def test_days_before_1970_are_not_late(spark):
+    days = [date(1931, 5, 1), date(1969, 12, 31), date(1970, 1, 1), date(2001, 1, 1)]
+    left = spark.createDataFrame([(1, "Q", d) for d in days], "entity bigint, class string, day date")
+    right = spark.createDataFrame([(1, "Q", d + timedelta(k), 10 * n + k) for n, d in enumerate(days) for k in (3, 9)], "entity bigint, class string, day date, right_id bigint")
+    got = {(r.day, r.right_id) for r in nearest_in_time(left, right, 45).collect()}
+    assert got == {(days[0], 3), (days[1], 13), (days[2], 13), (days[3], 33)}
