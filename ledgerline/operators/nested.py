@@ -7,6 +7,7 @@ node a exactly if a.pre < d.pre and d.post < a.post, so any level of nesting is
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,6 +23,59 @@ def _no_constant(name: str) -> None:
     raise ValueError(name)
 
 
+_SPACE = re.compile(r"[ \t\n\r]*")
+
+
+def loads_deep(text: str) -> object:
+    """json.loads for any depth: the open lists and objects are on a stack of its own. ValueError for what is no JSON."""
+    decode, space = json.JSONDecoder(parse_constant=_no_constant).raw_decode, lambda i: _SPACE.match(text, i).end()
+    at, opened = space(0), []  # (list or dict, key at which it waits)
+    while True:
+        c = text[at : at + 1]
+        if c in ("[", "{"):
+            value: object = [] if c == "[" else {}
+            at = space(at + 1)
+            if text[at : at + 1] == ("]" if c == "[" else "}"):
+                at += 1
+            else:
+                opened.append([value, None])
+                if c == "{":
+                    at = _member(text, at, opened[-1], decode, space)
+                continue
+        else:
+            value, at = decode(text, at)
+        while opened:  # value is complete: into what is open, and that in turn
+            at, (into, key) = space(at), opened[-1]
+            if key is None:
+                into.append(value)
+            else:
+                into[key] = value
+            c, at = text[at : at + 1], at + 1
+            if c == ",":
+                at = space(at)
+                if key is not None:
+                    at = _member(text, at, opened[-1], decode, space)
+                break
+            if c != ("]" if key is None else "}"):
+                raise ValueError(f"no JSON at {at - 1}")
+            value = opened.pop()[0]
+        else:
+            if space(at) != len(text):
+                raise ValueError(f"more than one value, at {at}")
+            return value
+
+
+def _member(text: str, at: int, into: list, decode, space) -> int:
+    """Read a key and its colon; gives where the value begins."""
+    if text[at : at + 1] != '"':
+        raise ValueError(f"no key at {at}")
+    into[1], at = decode(text, at)
+    at = space(at)
+    if text[at : at + 1] != ":":
+        raise ValueError(f"no colon at {at}")
+    return space(at + 1)
+
+
 def _key(k: str) -> str:
     """A key as part of a path: dots and brackets of its own are marked, so that paths stay unambiguous."""
     return k.replace(".", "\\.").replace("[", "\\[") if "." in k or "[" in k else k
@@ -43,14 +97,17 @@ def label_nodes(payload: str | None) -> list[tuple] | None:
     """(pre, post, parent_pre, depth, path, pos, kind, value) of each node; None for what is no complete JSON.
 
     path has the keys from the root joined by '.', list levels as '[]'; pos is the place in the list, else null.
-    A bare value at a list's place keeps its own path; readers accept both. The walk keeps its own stack, so depth
-    is not bounded by Python's.
+    A bare value at a list's place keeps its own path; readers accept both. Walk and, where
+    Python's parser gives up, parser keep their own stack, so depth is not bounded by Python's.
     """
     if payload is None:
         return None
     try:
-        root = json.loads(payload, parse_constant=_no_constant)
-    except (ValueError, RecursionError):
+        try:
+            root = json.loads(payload, parse_constant=_no_constant)
+        except RecursionError:
+            root = loads_deep(payload)
+    except ValueError:
         return None
     out: list[list] = []
     pre = post = 0

@@ -1,5 +1,8 @@
 import json
 
+import pytest
+
+from ledgerline.operators import nested
 from ledgerline.operators.nested import flat_children, label_nodes, node_table, numbered
 
 
@@ -51,3 +54,19 @@ def test_repeated_ids_stay_apart_and_empty_table(spark):
 def test_node_table_keeps_named_paths(spark):
     df = numbered(spark.createDataFrame([(1, '{"a": {"b": [1, 2]}}')], "record_id bigint, payload string"))
     assert [(r.pos, r.value) for r in node_table(df, "payload", "a.b[]").orderBy("pos").collect()] == [(0, "1"), (1, "2")]
+
+
+def test_payloads_deeper_than_the_parser_allows():
+    depth = 3000  # of 12,000 levels in all; plain json gives up at about 10,000
+    nodes = nested.label_nodes('{"a": ' * depth + "[1, " + "[" * 9000 + ' "x" ' + "]" * 9000 + "]" + "}" * depth)
+    assert len(nodes) == depth + 1 + 1 + 9000 + 1 and nodes[-1][-1] == "x" and nodes[-1][3] == depth + 9001
+    assert nested.label_nodes("[" * 20000 + "]" * 19999) is None
+
+
+def test_deep_parser_agrees_with_the_plain_one():
+    good = ['{"a": [1, -2.5e3, "x\\n", null, true], "b": {}, "a": []}', " [ ] ", "3", '"s"', '[[[{"k" : [ {} , {"z":0} ]}]]]']
+    for x in good:
+        assert nested.loads_deep(x) == json.loads(x)
+    for x in ["", "[", "[1,]", '{"a"}', '{"a":1,}', "[1 2]", "[]]", "{1:2}", "[NaN]", '{"a":1]', "[1}", "tru"]:
+        with pytest.raises(ValueError):
+            nested.loads_deep(x)
