@@ -28,38 +28,79 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share. Set here only if the session names none (tests, local mode)."""
+    """The folder all executors share: spark.checkpoint.dir, else the folder of setCheckpointDir.
+
+    A session that names neither gets a folder of this machine in local mode; on a cluster, whose executors would not
+    see it, that is an error.
+    """
     root = spark.conf.get(SHARED_DIR_CONF, None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="ledgerline-")
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = given.get() if given.isDefined() else _local_root(spark)
         spark.conf.set(SHARED_DIR_CONF, root)
     return root.rstrip("/")
 
 
+def _local_root(spark: SparkSession) -> str:
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"working tables need a folder that all executors of {master} share: set {SHARED_DIR_CONF}")
+    return "file://" + tempfile.mkdtemp(prefix="ledgerline-")
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+_registered: set[str] = set()
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/ledgerline/{label}-{uuid.uuid4().hex}"
+    """A fresh path below this application's part of the shared folder, which is removed when the application ends."""
+    own = f"{shared_root(spark)}/ledgerline/{spark.sparkContext.applicationId}"
+    if own not in _registered:
+        p, fs = _hadoop(spark, own)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _registered.add(own)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
+
+
+def make_path(spark: SparkSession, path: str) -> str:
+    p, fs = _hadoop(spark, path)
+    fs.mkdirs(p)
+    return path
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at path; a storage that cannot be reached is an error, not an absence."""
+    p, fs = _hadoop(spark, path)
+    return fs.exists(p)
 
 
 #: Input bytes a shuffle partition is meant for where an operator fixes their number itself.
 PARTITION_BYTES = 128 << 20
-MOST_PARTITIONS = 50_000
 
 
 def partitions_for(df: DataFrame) -> int:
     """Shuffle partitions by the planner's size of df, at least as many as the session asks for. For scans and what
-    narrows them; sizes the planner gives joins are products."""
+    narrows them; sizes the planner gives joins are products, so where it knows none the rows are counted."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= 1 << 60:  # the planner knows no size
-        return least
-    return max(least, min(MOST_PARTITIONS, size // PARTITION_BYTES))
+    if size >= 1 << 60:
+        size = df.count() * UNKNOWN_ROW_BYTES
+    return max(least, size // PARTITION_BYTES)
+
 
+#: What a row is taken for where the planner knows no size.
+UNKNOWN_ROW_BYTES = 1024
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+def drop_path(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        p, fs = _hadoop(spark, path)
+        fs.delete(p, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -70,10 +111,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove_local(path: str) -> None:
-    shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
-
-
 _shipped: set[str] = set()
 
 
