@@ -240,7 +240,7 @@ def test_nearest_in_time_equals_brute_force(spark):
             want[e, c, d] = min(hits)[1:]
     l = spark.createDataFrame([(*x, 1) for x in left], "entity bigint, class string, day date, side int")
     r = spark.createDataFrame([(*x, "t") for x in right], "entity bigint, class string, day date, right_id bigint, ts string")
-    got = [tuple(x) for x in nearest_in_time(l, r, 45, slices=3).collect()]
+    got = [tuple(x) for x in nearest_in_time(l, r, 45, rows_per_slice=150).collect()]
     assert {x[:3]: x[3:] for x in got} == want and len(got) == len(want)
 
 
