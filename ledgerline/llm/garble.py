@@ -25,13 +25,13 @@ READERS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman
 SINGLE = ("cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "iso8859-2", "cp1253")
 #: Distinct aligned characters a single-byte transformation must explain, as one alone may be chance.
 SINGLE_SUPPORT = 3
-ROUNDS = 3
 LOST = "�"
 MARK = "\ufeff"
 _CJK = "⺀-鿿가-힯豈-﫿＀-￯"
 _RUN = re.compile("[^\x00-\x7f]+")
 _WESTERN_RUN = re.compile(f"[^\x00-\x7f{_CJK}]+")
 _EDGE = re.compile(f"[ \t\n\r\f\v{_CJK}]")
+_WORD = re.compile(r"\S+")
 _DIGITS = str.maketrans("123456789", "000000000")
 
 
@@ -90,15 +90,26 @@ def pieces(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _neighbours(text: str, a: int, b: int) -> tuple[str, str]:
+    """The words before and after a piece, whole, however long they are."""
+    end = a
+    while end and text[end - 1].isspace():
+        end -= 1
+    start = end
+    while start and not text[start - 1].isspace():
+        start -= 1
+    after = _WORD.search(text, b)
+    return text[start:end], after.group() if after else ""
+
+
 def twin_key(text: str, a: int, b: int) -> tuple[str, str]:
     """(what a piece has in common with its twins, its surface), digits alike. Of a piece with next to no ASCII
     characters its neighbours are part of the key."""
     surface = text[a:b].translate(_DIGITS)
     key = _RUN.sub("", surface)
     if sum(c.isalnum() for c in key) < 3:
-        left, right = text[max(0, a - 40) : a].split(), text[b : b + 40].split()
-        near = lambda x: _RUN.sub("", x).translate(_DIGITS)
-        key = f"{near(left[-1]) if left else ''} {key} {near(right[0]) if right else ''}"
+        left, right = (_RUN.sub("", x).translate(_DIGITS) for x in _neighbours(text, a, b))
+        key = f"{left} {key} {right}"
     return key, surface
 
 
@@ -133,15 +144,11 @@ def explain(garbled: str, clean: str) -> tuple[list[str], list[str]]:
     """(reading codecs under which the run is misread UTF-8 of the other, single-byte transformations that map it)."""
     multi = []
     for codec in READERS:
-        r = garbled
-        for _ in range(ROUNDS):
-            s = unread(r, codec)
-            if s == r:
-                break
-            r = s
-            if r == clean:
-                multi.append(codec)
-                break
+        r, s = garbled, unread(garbled, codec)
+        while s != r != clean:  # each round shortens the run
+            r, s = s, unread(s, codec)
+        if r == clean:
+            multi.append(codec)
     single = []
     if len(garbled) == len(clean):
         for written in SINGLE:
@@ -208,7 +215,7 @@ class Learned:
         counts = materialize(counts, "garble-counts")
         tokens = counts.where("kind = 0").select("key", "surface", "n")
         best = tokens.groupBy("key").agg(F.max(F.struct("n", "surface")).alias("best"), F.count(F.lit(1)).alias("forms")).where("forms > 1")
-        twins = tokens.join(best, "key").where("n < best.n").select(F.col("surface").alias("garbled"), F.col("best.surface").alias("clean"))
+        twins = tokens.join(best.hint("merge"), "key").where("n < best.n").select(F.col("surface").alias("garbled"), F.col("best.surface").alias("clean"))
         evidence = twins.mapInArrow(_evidence, "kind string, ways string, pair string").groupBy("kind", "ways").agg(F.countDistinct("pair").alias("pairs"))
         rows = evidence.collect()  # as many rows as there are transformations and sets of them
         swaps = [f"{a}>{b}" for a in SINGLE for b in SINGLE]
@@ -217,7 +224,7 @@ class Learned:
         if self.codecs:
             seqs = counts.where("kind = 2").select("surface", "n").mapInArrow(_sequences(self.codecs), "seq string, original string, n bigint").groupBy("seq", "original").agg(F.sum("n").alias("n"))
             # A misread byte order mark stands for no character at all.
-            known = seqs.join(chars, "original", "left").where((F.col("n_original") > F.col("n")) | (F.col("original") == MARK)).groupBy("seq").agg(F.max_by("original", F.struct("n_original", "original")).alias("original"))
+            known = seqs.join(chars.hint("merge"), "original", "left").where((F.col("n_original") > F.col("n")) | (F.col("original") == MARK)).groupBy("seq").agg(F.max_by("original", F.struct("n_original", "original")).alias("original"))
             # Bounded by the alphabet: a sequence stands for one character of the corpus.
             self.mapping = {r.seq: r.original.replace(MARK, "") for r in known.collect()}
         else:
@@ -225,7 +232,7 @@ class Learned:
         if self.swaps:
             tried = tokens.mapInArrow(_swapped(self.swaps), "key string, surface string, n bigint, way string, original string")
             clean = tokens.select("key", F.col("surface").alias("original"), F.col("n").alias("n_original"))
-            self.surfaces = tried.join(clean, ["key", "original"]).where("n_original > n").groupBy("key", "surface").agg(F.max_by("way", F.struct("n_original", "way")).alias("way"))
+            self.surfaces = tried.join(clean.hint("merge"), ["key", "original"]).where("n_original > n").groupBy("key", "surface").agg(F.max_by("way", F.struct("n_original", "way")).alias("way"))
         else:
             self.surfaces = spark.createDataFrame([], "key string, surface string, way string")
 
@@ -250,19 +257,23 @@ def _any_of(seqs: list[str]) -> re.Pattern:
     return re.compile("|".join(map(re.escape, sorted(seqs, key=lambda s: (-len(s), s)))))
 
 
-def _apply(mapping: dict[str, str]):
-    """Of each document: whether a learned sequence or a lost character occurs in it, else its pieces."""
+def _apply(mapping: dict[str, str], swaps: list[str], every: bool):
+    """Of each document: that a learned sequence or a lost character occurs in it, and those of its pieces that an
+    accepted single-byte transformation may apply to (of documents already found only with every)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _any_of([*mapping, LOST])
+        tables = [swap_table(*w.split(">")) for w in swaps]
+        movable = lambda x: any(all(c.isascii() or c in t for c in x) for t in tables)
         for batch in batches:
             rows = []
             for doc, text in zip(*(x.to_pylist() for x in batch.columns)):
                 if not text or text.isascii():
                     continue
-                if known.search(text):
+                if sure := bool(known.search(text)):
                     rows.append((doc, True, None, None))
-                rows += [(doc, False, *t) for t in {twin_key(text, a, b) for a, b in pieces(text)}]
+                if tables and (every or not sure):
+                    rows += [(doc, False, *t) for t in {twin_key(text, a, b) for a, b in pieces(text)} if movable(t[1])]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.bool_(), pa.string(), pa.string()))], names=["doc_id", "sure", "key", "surface"])
 
@@ -272,6 +283,15 @@ def _apply(mapping: dict[str, str]):
 _APPLIED = "doc_id bigint, sure boolean, key string, surface string"
 
 
+def _seen(documents: DataFrame, learned: Learned, every: bool) -> DataFrame:
+    """(doc_id, sure, key, surface, way) of what _apply finds, in one pass; way where the piece is a learned surface.
+    Both sides grow with the corpus: the join is never a broadcast one."""
+    seen = documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_apply(learned.mapping, learned.swaps, every), _APPLIED)
+    if not learned.swaps:
+        return seen.withColumn("way", F.lit(None).cast("string"))
+    return seen.join(learned.surfaces.hint("merge"), ["key", "surface"], "left").where("sure or way is not null")
+
+
 def garbled(documents: DataFrame, learned: Learned | None = None) -> DataFrame:
     """(doc_id) of each document of documents (doc_id, text) whose text shows misread characters, each once.
 
@@ -280,13 +300,7 @@ def garbled(documents: DataFrame, learned: Learned | None = None) -> DataFrame:
     single-byte transformation maps to a more frequent twin. Without twins nothing is learned; replacement characters
     are found all the same.
     """
-    learned = learned or Learned(documents)
-    seen = documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_apply(learned.mapping), _APPLIED)
-    sure = seen.where("sure").select("doc_id")
-    if not learned.swaps:
-        return sure.distinct()
-    by_surface = seen.where("not sure").join(learned.surfaces.select("key", "surface"), ["key", "surface"]).select("doc_id")
-    return sure.unionByName(by_surface).distinct()
+    return _seen(documents, learned or Learned(documents), False).select("doc_id").distinct()
 
 
 def restore_text(text: str, mapping: dict[str, str], ways: dict[tuple[str, str], str]) -> str:
@@ -301,11 +315,9 @@ def restore_text(text: str, mapping: dict[str, str], ways: dict[tuple[str, str],
     text = "".join(out) + text[at:]
     if mapping:
         known = _any_of(list(mapping))
-        for _ in range(ROUNDS):
-            new = known.sub(lambda m: mapping[m.group()], text)
-            if new == text:
-                break
-            text = new
+        new = known.sub(lambda m: mapping[m.group()], text)
+        while new != text:  # a sequence is longer than what it stands for, so this ends
+            text, new = new, known.sub(lambda m: mapping[m.group()], new)
     return text
 
 
@@ -326,9 +338,5 @@ def restored(documents: DataFrame) -> DataFrame:
     where lost characters remain."""
     learned = Learned(documents)
     docs = documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint"), "text")
-    seen = docs.mapInArrow(_apply(learned.mapping), _APPLIED)
-    marks = (
-        seen.join(learned.surfaces, ["key", "surface"], "left").where("sure or way is not null")
-        .groupBy("doc_id").agg(F.collect_list(F.when(F.col("way").isNotNull(), F.struct("key", "surface", "way"))).alias("m"))
-    )
-    return docs.join(marks, "doc_id").select("doc_id", "text", "m.key", "m.surface", "m.way").mapInArrow(_restore(learned.mapping), "doc_id bigint, restored string, whole boolean")
+    marks = _seen(documents, learned, True).groupBy("doc_id").agg(F.collect_list(F.when(F.col("way").isNotNull(), F.struct("key", "surface", "way"))).alias("m"))
+    return docs.join(marks.hint("merge"), "doc_id").select("doc_id", "text", "m.key", "m.surface", "m.way").mapInArrow(_restore(learned.mapping), "doc_id bigint, restored string, whole boolean")

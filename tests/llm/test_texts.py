@@ -138,3 +138,23 @@ def test_alignment():
     assert garble.align("GuimarelÃ£es", "Guimarelães") == [("Ã£", "ã")]
     assert garble.align("abÃ£", "aãb") is None
     assert "cp1252" in garble.explain("Ã£", "ã")[0] and garble.explain("ã", "Ã£") == ([], [])
+
+
+def test_a_text_misread_five_times_is_explained_and_restored():
+    from ledgerline.llm.garble import explain, restore_text
+
+    bad, mapping = "café", {}
+    for _ in range(5):
+        bad = "".join(c if c.isascii() else c.encode("utf-8").decode("latin-1") for c in bad)
+    assert "latin-1" in explain(bad.removeprefix("caf"), "é")[0]
+    mapping = {c.encode("utf-8").decode("latin-1"): c for c in map(chr, range(0x80, 0x100))}
+    assert restore_text(bad, mapping, {}) == "café"
+
+
+def test_long_garbled_neighbours_give_the_same_key():
+    from ledgerline.llm.garble import twin_key
+
+    for x in ("é", "Ã©"):
+        text = "a" * 60 + x + " ß " + x + "b" * 60
+        at = text.index("ß")
+        assert twin_key(text, at, at + 1) == ("a" * 60 + "  " + "b" * 60, "ß")
