@@ -162,12 +162,29 @@ def numbered(records: DataFrame) -> DataFrame:
     return records.withColumn("record_no", F.monotonically_increasing_id())
 
 
-def enclosing(is_ancestor: Column, *wanted: str) -> Column:
-    """For each node the fields of the closest preceding node for which is_ancestor holds and whose interval
-    contains it, else null. One ordered pass per record instead of a range join."""
+def enclosing(paths: tuple[str, ...], *wanted: str, kind: str = "object") -> Column:
+    """For each node the fields of the innermost node of the paths and kind whose interval contains it, else null.
+
+    One ordered pass per record instead of a range join. Nodes of one path have one depth and cannot lie in each other,
+    so of each path only the last before a node can contain it; where paths nest, the one that begins last is innermost.
+    """
     order = Window.partitionBy("record_no").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(is_ancestor, F.struct("pre", "post", *wanted)), ignorenulls=True).over(order)
-    return F.when((last["pre"] < F.col("pre")) & (last["post"] > F.col("post")), last)
+    found = []
+    for p in paths:
+        last = F.last(F.when((F.col("path") == p) & (F.col("kind") == kind), F.struct("pre", "post", *wanted)), ignorenulls=True).over(order)
+        found.append(F.when((last["pre"] < F.col("pre")) & (last["post"] > F.col("post")), last))
+    return found[0] if len(found) == 1 else F.greatest(*found)
+
+
+def linked_nodes(records: DataFrame, payload: str, of: tuple[str, ...], within: tuple[str, ...], *also: str) -> DataFrame:
+    """The table of one type of node with its parent's row: (record_id, record_no, pre, post, pos, value, parent_pre,
+    parent_pos) of the nodes of the paths `of`, objects or bare values, that lie in an object of the paths `within`.
+
+    pos and parent_pos count from 0, a bare value in a list's place is the first. Nodes outside have no row.
+    """
+    nodes = node_table(records, payload, *of, *within, *also).withColumn("up", enclosing(within, "pos"))
+    return nodes.where(F.col("path").isin(*of) & ~F.col("kind").isin("array", "null") & F.col("up").isNotNull()).select(
+        "record_id", "record_no", "pre", "post", F.coalesce("pos", F.lit(0)).alias("pos"), "value", F.col("up.pre").alias("parent_pre"), F.coalesce("up.pos", F.lit(0)).alias("parent_pos"))
 
 
 ACCESSIONS = ("filings.recent.accessionNumber", "filings.recent.accessionNumber[]")
@@ -189,13 +206,11 @@ def flat_children(records: DataFrame, id_col: str = "raw_id", payload: str = "pa
     rec = numbered(records.select(F.col(id_col).alias("record_id"), F.col(payload).alias("payload")))
     nodes = node_table(rec, "payload", "filings.recent", *ACCESSIONS, *FORMS, *CASES, *FACTS, *CASE_IDS, *CONCEPTS)
     path, scalar = F.col("path"), ~F.col("kind").isin("object", "array", "null")
-    cases = path.isin(*CASES) & (F.col("kind") == "object")
-    facts = path.isin(*FACTS) & (F.col("kind") == "object")
     linked = nodes.select(
         "*",
-        enclosing(path == "filings.recent").alias("recent"),
-        enclosing(cases, "pos").alias("case"),
-        enclosing(facts, "pos").alias("fact"),
+        enclosing(("filings.recent",)).alias("recent"),
+        enclosing(CASES, "pos").alias("case"),
+        enclosing(FACTS, "pos").alias("fact"),
     )
     # The case_id of a case, for all nodes in it; records are already together, so this and the grouping only sort.
     of_case = F.max(F.when(path.isin(*CASE_IDS) & scalar, F.col("value"))).over(Window.partitionBy("record_no", "case.pre"))

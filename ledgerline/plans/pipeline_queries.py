@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.normalize import company_number, label, usable
 from ledgerline.operators.knowntime import as_known
-from ledgerline.operators.nested import flat_children
+from ledgerline.operators.nested import CASES, FACTS, flat_children, linked_nodes, numbered
 from ledgerline.plans.registry import Registry
 from ledgerline.sources.tables import table
 
@@ -50,3 +50,12 @@ SELECT * FROM fil UNION ALL SELECT * FROM ex WHERE item_label IS NOT NULL"""
 @R.add("p6_found", _P6_SQL)
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_children(table(spark, sf_dir, "raw_records", "raw_id", "payload"))
+
+
+@R.add("p6_linked", _P6_SQL.split("ex AS (")[0].rstrip().rstrip(",") + " SELECT raw_id, i::INT case_pos, k::INT item_pos FROM (SELECT *, unnest(range(json_array_length(ef)::BIGINT)) k FROM e) WHERE json_type(ef->k::INT) = 'OBJECT'")
+def p6_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of cases and that of expected facts, each with its own labels, joined by the link from child to parent."""
+    rec = numbered(table(spark, sf_dir, "raw_records", "raw_id", "payload").withColumnRenamed("raw_id", "record_id"))
+    cases = linked_nodes(rec, "payload", CASES, ("",)).select("record_no", F.col("pre").alias("parent_pre"), F.col("pos").alias("case_pos"))
+    facts = linked_nodes(rec, "payload", FACTS, CASES).where("value is null").select("record_no", "parent_pre", F.col("record_id").alias("raw_id"), F.col("pos").alias("item_pos"))
+    return facts.join(cases, ["record_no", "parent_pre"]).select("raw_id", "case_pos", "item_pos")

@@ -70,3 +70,12 @@ def test_deep_parser_agrees_with_the_plain_one():
     for x in ["", "[", "[1,]", '{"a"}', '{"a":1,}', "[1 2]", "[]]", "{1:2}", "[NaN]", '{"a":1]', "[1}", "tru"]:
         with pytest.raises(ValueError):
             nested.loads_deep(x)
+
+
+def test_nodes_nested_in_nodes_of_another_path_find_the_innermost_that_holds_them(spark):
+    """A node after an inner one has closed still finds the outer one."""
+    text = '{"a": [{"a": {"x": 1}, "x": 2}, {"x": 3}], "x": 4}'
+    df = numbered(spark.createDataFrame([(1, text)], "record_id bigint, payload string"))
+    rows = nested.linked_nodes(df, "payload", ("a[].a.x", "a[].x", "x"), ("a[]", "a[].a")).collect()
+    pre = {n[4] + str(n[5]): n[0] for n in nested.label_nodes(text)}
+    assert sorted((r.value, r.parent_pre) for r in rows) == [("1", pre["a[].aNone"]), ("2", pre["a[]0"]), ("3", pre["a[]1"])]
