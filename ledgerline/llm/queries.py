@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.normalize import company_number, duration_class, usable
@@ -10,7 +10,7 @@ from ledgerline.llm.garble import garbled, restored
 from ledgerline.llm.leakage import leaked
 from ledgerline.llm.neardup import near_duplicates
 from ledgerline.llm.nearest_time import nearest_in_time
-from ledgerline.llm.splitting import split_oversized
+from ledgerline.llm.splitting import LEVELS, LIMIT, OVERLAP, split_oversized
 from ledgerline.llm.survivorship import best_facts
 from ledgerline.llm.tokenize import encode_corpus
 from ledgerline.plans.registry import Registry
@@ -46,7 +46,7 @@ def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_facts(table(spark, sf_dir, "financial_facts"), table(spark, sf_dir, "tag_map"))
 
 
-_P2 = r"""WITH c AS (SELECT chunk_key, trim(regexp_replace(text, '[\s\p{Z}\x{b}\x{85}\x{1c}-\x{1f}]+', ' ', 'g')) t FROM chunks WHERE lower(trim(kind)) = 'prose'),
+_P2 = r"""WITH c AS (SELECT chunk_key, section, trim(regexp_replace(text, '[\s\p{Z}\x{b}\x{85}\x{1c}-\x{1f}]+', ' ', 'g')) t FROM chunks WHERE lower(trim(kind)) = 'prose'),
 s AS (SELECT chunk_key, list_max(list_transform(string_split(regexp_replace(t, '([.!?]) ', '\1' || chr(1), 'g'), chr(1)), lambda x: length(x))) longest_s,
   list_max(list_transform(string_split(t, ' '), lambda x: length(x))) longest_w FROM c WHERE length(t) > 1500)
 SELECT chunk_key, CASE WHEN longest_s <= 1500 THEN 'sentence' WHEN longest_w <= 1500 THEN 'word' ELSE 'none' END boundary FROM s"""
@@ -59,7 +59,22 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add("p2_pieces")
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_oversized(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "prose_blocks", "block_id", "accession_number", "text", "block_order"))
+    return split_oversized(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "prose_blocks", "block_id", "accession_number", "section", "text", "block_order"))
+
+
+@R.add("p2_checked", _P2.split("s AS (")[0].rstrip().rstrip(",") + " SELECT chunk_key, section, length(t) chars, true AS short, true AS joined, true AS onward FROM c WHERE length(t) > 1500")
+def p2_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the pieces of every chunk: they end where its text does, stay within the limit, leave nothing
+    between them but a blank, overlap by 150 characters at most, and all move on. (Counted over chunk_key and section, as
+    a chunk that is there twice gives its pieces twice.)"""
+    end = F.col("start_pos") + F.length("piece")
+    w = Window.partitionBy("chunk_key", "start_of").orderBy("piece_no")
+    p = p2_pieces(spark, sf_dir).withColumn("end", end).withColumn("start_of", F.coalesce("section", F.lit("")))
+    p = p.withColumns({"past": F.lag("end").over(w), "from": F.lag("start_pos").over(w)})
+    moves = F.col("past").isNull() | ((F.col("start_pos") <= F.col("past") + 1) & (F.col("past") - F.col("start_pos") <= OVERLAP))
+    on = F.col("past").isNull() | ((F.col("start_pos") > F.col("from")) & (F.col("end") > F.col("past")))
+    return p.groupBy("chunk_key", "section").agg(
+        F.max("end").cast("bigint").alias("chars"), F.bool_and(F.length("piece") <= LIMIT).alias("short"), F.bool_and(moves).alias("joined"), F.bool_and(on & (F.col("cut").isin(*LEVELS))).alias("onward"))
 
 
 TOLERANCE_DAYS = 45
@@ -98,12 +113,25 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-@R.add("p8_found")
+# Every 12 consecutive words of either side as a string, joined.
+_P8 = """WITH w AS (SELECT 'd' side, doc_id id, regexp_extract_all(lower(text), '[a-z0-9]+') w FROM documents WHERE doc_id IS NOT NULL UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(item_text), '[a-z0-9]+') FROM eval_items WHERE item_id IS NOT NULL),
+g AS (SELECT DISTINCT side, id, array_to_string(w[i + 1:i + 12], ' ') gram FROM (SELECT side, id, w, unnest(range(len(w) - 11)) i FROM w WHERE len(w) >= 12))
+SELECT DISTINCT d.id doc_id, i.id item_id FROM g d JOIN g i ON d.gram = i.gram WHERE d.side = 'd' AND i.side = 'i'"""
+
+
+@R.add("p8_found", _P8)
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "item_text"))
 
 
-@R.add("p3_found")
+# Shingles in common by a join on them; common / (n_a + n_b - common) >= 0.6.
+_P3 = """WITH w AS (SELECT passage_id, regexp_extract_all(lower(text), '[a-z0-9]+') w FROM narrative_passages WHERE passage_id IS NOT NULL),
+s AS (SELECT row_number() OVER () rn, passage_id, w FROM w WHERE len(w) >= 3), g AS (SELECT DISTINCT rn, passage_id, array_to_string(w[i + 1:i + 3], ' ') gram FROM (SELECT rn, passage_id, w, unnest(range(len(w) - 2)) i FROM s)),
+n AS (SELECT rn, count(*) n FROM g GROUP BY rn), c AS (SELECT a.rn ra, b.rn rb, a.passage_id passage_id_a, b.passage_id passage_id_b, count(*) c FROM g a JOIN g b ON a.gram = b.gram AND a.passage_id < b.passage_id GROUP BY ALL)
+SELECT passage_id_a, passage_id_b FROM c JOIN n x ON x.rn = ra JOIN n y ON y.rn = rb WHERE 8 * c >= 3 * (x.n + y.n)"""
+
+
+@R.add("p3_found", _P3)
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "narrative_passages", "passage_id", "text").select(F.col("passage_id").alias("id"), "text")
     return near_duplicates(texts).select(F.col("id_a").alias("passage_id_a"), F.col("id_b").alias("passage_id_b"))

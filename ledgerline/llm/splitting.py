@@ -1,13 +1,14 @@
 """Oversized items cut at natural boundaries.
 
-The text is split by a hierarchy of separators: block (the chunk's own blocks, blank lines), sentence, word,
-character. A part is split by the next level only if it exceeds the limit. The parts are then packed greedily into
+The text is split by a hierarchy of separators: section (where the chunk's blocks change it), paragraph (the chunk's
+own blocks, blank lines), sentence, word, character. A part is split by the next level only if it exceeds the limit. The parts are then packed greedily into
 pieces, each beginning with the tail of the piece before it.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
@@ -15,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.normalize import dashed_accession, label
+from ledgerline.functions.normalize import collapse_space, dashed_accession, label
 
 LIMIT, OVERLAP = 1500, 150
-LEVELS = ("block", "sentence", "word", "character")
+LEVELS = ("section", "block", "sentence", "word", "character")
 _RUN = re.compile(r"\s+")
 _SENTENCE_END = re.compile(r"(?<=[.!?]) ")
 
@@ -45,19 +46,6 @@ def squeeze(text: str) -> tuple[str, list[int]]:
     return " ".join(out), breaks
 
 
-def boundary_of(text: str, limit: int = LIMIT) -> str:
-    """The coarsest natural boundary at which pieces within the limit exist: sentence, word or none."""
-    at = 0
-    for m in _SENTENCE_END.finditer(text):
-        if m.start() - at > limit:
-            break
-        at = m.end()
-    else:
-        if len(text) - at <= limit:
-            return "sentence"
-    return "word" if max(map(len, text.split(" "))) <= limit else "none"
-
-
 def _atoms(text: str, starts: list[list[int]], limit: int, overlap: int) -> list[tuple[int, int, int]]:
     """Parts (start, end, level) within the limit; starts[l] are the sorted part starts of level l. A part ends before
     the blank that separates it from the next."""
@@ -77,51 +65,64 @@ def _atoms(text: str, starts: list[list[int]], limit: int, overlap: int) -> list
     return done
 
 
-def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, blocks: list[int] | None = None) -> list[tuple[int, int, str]]:
-    """Pieces (start, end, level of the cut before it) of a squeezed text; blocks are block starts in it.
+def _places(text: str) -> tuple[list[int], list[int]]:
+    return [m.end() for m in _SENTENCE_END.finditer(text)], [m.end() for m in re.finditer(" ", text)]
+
+
+def boundary_of(text: str, limit: int = LIMIT, places: tuple[list[int], list[int]] | None = None) -> str:
+    """The coarsest natural boundary at which pieces within the limit exist, by the splitter's own cuts: sentence, word
+    or none."""
+    deepest = max(level for _, _, level in _atoms(text, list(places or _places(text)), limit, 0))
+    return ("sentence", "sentence", "word", "none")[deepest]
+
+
+def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, blocks: list[int] | None = None, sections: list[int] | None = None, places: tuple[list[int], list[int]] | None = None) -> list[tuple[int, int, str]]:
+    """Pieces (start, end, level of the cut before it) of a squeezed text; blocks and sections are their starts in it.
 
     Every character but a separating blank lies in a piece, no piece exceeds limit, and a piece starts at most overlap
     characters before the end of the one before it, at a sentence start if there is one in reach, else a word start.
     """
-    sentences = [m.end() for m in _SENTENCE_END.finditer(text)]
-    words = [m.end() for m in re.finditer(" ", text)]
-    atoms = _atoms(text, [sorted(set(blocks or ())), sentences, words], limit, overlap)
+    sentences, words = places or _places(text)
+    atoms = _atoms(text, [sorted(set(sections or ())), sorted(set(blocks or ())), sentences, words], limit, overlap)
     out: list[tuple[int, int, str]] = []
     start, end, cut = 0, 0, 0
     for a, b, level in atoms:
         if b - start > limit:
-            out.append((start, end, LEVELS[min(cut, 3)]))
+            out.append((start, end, LEVELS[cut]))
             # The tail must leave room for the new part.
             low = max(end - overlap, b - limit, start + 1)
             tail = a
-            for places in (sentences, words):
-                k = bisect_left(places, low)
-                if k < len(places) and places[k] < end:
-                    tail = places[k]
+            for at in (sentences, words):
+                k = bisect_left(at, low)
+                if k < len(at) and at[k] < end:
+                    tail = at[k]
                     break
             else:
                 # Only inside a stretch without blanks is a tail cut between characters.
-                if level > 3 and low < end and a == end:
+                if level == len(LEVELS) and low < end and a == end:
                     tail = low
             start, cut = tail, max(level - 1, 0)
         end = b
-    out.append((start, end, LEVELS[min(cut, 3)]))
+    out.append((start, end, LEVELS[cut]))
     return out
 
 
-def block_starts(text: str, blocks: list[str | None] | None) -> list[int]:
-    """Starts of the squeezed blocks in the squeezed text they were joined to; stops at the first that does not fit."""
-    at, out = 0, []
-    for b in blocks or ():
-        b = " ".join((b or "").split())
-        if not b:
+def block_starts(text: str, blocks: list[tuple[int, int, str | None]] | None) -> tuple[list[int], list[int]]:
+    """(starts of blocks, starts of those that change the section) in the squeezed text they were joined to; stops at the
+    first that does not fit. Blocks are known by length, CRC-32 and section; empty ones take no place."""
+    at, out, sections, now = 0, [], [], None
+    for n, crc, section in blocks or ():
+        if not n:
             continue
-        if not text.startswith(b, at):
+        if zlib.crc32(text[at : at + n].encode("utf-8", "surrogatepass")) != crc:
             break
         if at:
             out.append(at)
-        at += len(b) + 1
-    return out
+            if section != now:
+                sections.append(at)
+        now = section
+        at += n + 1
+    return out, sections
 
 
 _OUT = pa.schema([("chunk_key", pa.int64()), ("section", pa.string()), ("boundary", pa.string()), ("piece_no", pa.int32()), ("start_pos", pa.int32()), ("cut", pa.string()), ("piece", pa.string())])
@@ -135,8 +136,10 @@ def _split(limit: int, overlap: int):
                 text, breaks = squeeze(raw)
                 if len(text) <= limit:
                     continue
-                cuts = split_text(text, limit, overlap, breaks + block_starts(text, blocks))
-                bound = boundary_of(text, limit)
+                starts, sections = block_starts(text, [(b["n"], b["crc"], b["section"]) for b in blocks or ()])
+                places = _places(text)
+                cuts = split_text(text, limit, overlap, breaks + starts, sections, places)
+                bound = boundary_of(text, limit, places)
                 rows += [(key, section, bound, i, a, cut, text[a:b]) for i, (a, b, cut) in enumerate(cuts)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _OUT.types)], schema=_OUT)
@@ -149,11 +152,14 @@ def split_oversized(chunks: DataFrame, blocks: DataFrame, limit: int = LIMIT, ov
 
     Gives (chunk_key, section, boundary, piece_no, start_pos, cut, piece). Null, empty and short texts and other kinds
     give nothing; each repeated row gives its own pieces; unknown, null or ill-fitting blocks leave sentence, word and
-    character cuts. Only chunks over the limit take part in the join with their blocks.
+    character cuts. Only chunks over the limit take part in the join with their blocks, and of the blocks only length,
+    checksum and section, not their texts.
     """
     big = chunks.where((label("kind") == "prose") & (F.length("text") > limit)).select("chunk_key", "section", "text", dashed_accession("accession_number").alias("acc"), "source_orders")
     wanted = big.select("acc", "source_orders").distinct().select("acc", "source_orders", F.posexplode("source_orders").alias("at", "block_order"))
-    known = blocks.groupBy(dashed_accession("accession_number").alias("acc"), "block_order").agg(F.min_by("text", "block_id").alias("block"))
+    squeezed = collapse_space("text")
+    block = F.struct(F.coalesce(F.length(squeezed), F.lit(0)).alias("n"), F.coalesce(F.crc32(squeezed.cast("binary")), F.lit(0)).alias("crc"), "section")
+    known = blocks.select(dashed_accession("accession_number").alias("acc"), "block_order", "block_id", block.alias("block")).groupBy("acc", "block_order").agg(F.min_by("block", "block_id").alias("block"))
     found = (
         wanted.join(known, ["acc", "block_order"])
         .groupBy("acc", "source_orders").agg(F.array_sort(F.collect_list(F.struct("at", "block"))).alias("blocks"))

@@ -28,6 +28,18 @@ def best_record(rows: DataFrame, keys: list[str], quality: list[Column], fields:
     )
 
 
+USABLE = 1 << 56
+
+
+def packed_quality(trusted: Column) -> Column:
+    """Usable value, trusted source, tag priority (32 bits, absent last) and day filed (22 bits, absent last) in one
+    number that orders like them: every field's struct carries it."""
+    bit = lambda c, n: F.when(c, F.lit(1 << n)).otherwise(F.lit(0))
+    priority = F.when(F.col("priority").isNotNull(), F.lit(1 << 54) + (F.lit(2**31 - 1) - F.col("priority").cast("bigint")) * (1 << 22)).otherwise(F.lit(0))
+    day = F.coalesce(F.greatest(F.datediff("filed_date", F.lit("0001-01-01").cast("date")) + 2, F.lit(1)), F.lit(0))
+    return bit(usable("val"), 56) + bit(F.coalesce(trusted, F.lit(False)), 55) + priority + day
+
+
 def best_facts(facts: DataFrame, tag_map: DataFrame) -> DataFrame:
     """Surviving financial fact per (company, concept, fiscal_year, fiscal_period) of two or more rows with a usable value.
 
@@ -44,13 +56,13 @@ def best_facts(facts: DataFrame, tag_map: DataFrame) -> DataFrame:
         )
         .join(prio, ["concept", "bare_tag"], "left")
     )
-    quality = [usable("val"), F.coalesce(F.col("source") == "xbrl", F.lit(False)), -F.col("priority"), F.col("filed_date"), -F.col("fact_id")]
+    quality = [packed_quality(F.col("source") == "xbrl"), -F.col("fact_id")]
     own = F.struct("fact_id", "val", "unit", "source")
     blank = lambda c: F.when(F.trim(F.col(c)) != "", F.col(c))
     best = best_record(
         rows, ["company", "concept", "fiscal_year", "fiscal_period"], quality,
         {"own": own, "accession_number": F.col("accession_number"), "filed_date": F.col("filed_date"), "source_tag": blank("source_tag"), "period_end_date": F.col("period_end_date"), "company_ticker": blank("company_ticker")},
     )
-    return best.where((F.col("n_rows") >= 2) & F.col("best.q0")).select(
+    return best.where((F.col("n_rows") >= 2) & (F.col("best.q0") >= USABLE)).select(
         "company", "concept", "fiscal_year", "fiscal_period", "n_rows", "own.*", F.coalesce("accession_number", F.lit("")).alias("accession_number"), "filed_date", "source_tag", "period_end_date", "company_ticker",
     )

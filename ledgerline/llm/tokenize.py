@@ -2,7 +2,7 @@
 
 Per partition the texts are split into words by the vocabulary's pattern, and each distinct word is encoded once: a
 DuckDB recursive query holds one row per token position, joins adjacent tokens with the merge table, and contracts
-each word's leftmost pair of minimum rank until nothing merges; an ordered aggregation gives the word's ids.
+each word's leftmost pairs of minimum rank until nothing merges; an ordered aggregation gives the word's ids.
 """
 
 from __future__ import annotations
@@ -21,25 +21,22 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words kept encoded per task; beyond it the store starts anew. Speed only.
 STORE_WORDS = 400_000
-#: Words longer than this many bytes are contracted by a heap, with the same result: one recursion step per merge over
-#: all their positions would take time by the square of their length.
-LONG_WORD = 400
-
+#: The table keeps the last token of each position, -1 where one has gone into the one before it; a step sees which words
+#: the step before changed. Of a word all leftmost pairs of its minimum rank are contracted at once: a merged token takes
+#: part in later merges only, so nothing of lower rank can come between. In a run of equal tokens that is every other pair.
 _RECURSION = """
-WITH RECURSIVE step(w, p, t, n) AS (
-  SELECT w, p, t, 0 FROM start
-  UNION ALL
-  SELECT w, p, t, n FROM (
-    SELECT w, p, n, CASE WHEN p = spot THEN new_id ELSE t END t, p = gone AS dropped FROM (
-      SELECT s.w, s.p, s.t, s.n + 1 n, m.m0.spot AS spot, m.m0.gone AS gone, m.m0.new_id AS new_id
-      FROM step s JOIN (
-        SELECT w, arg_min(struct_pack(spot := p, gone := np, new_id := new_id), struct_pack(r := rank, p := p)) AS m0
-        FROM (SELECT w, p, t, lead(t) OVER v AS nt, lead(p) OVER v AS np FROM step WINDOW v AS (PARTITION BY w ORDER BY p)) a
-        JOIN merges ON a.t = merges.l AND a.nt = merges.r
-        GROUP BY w) m ON s.w = m.w))
-  WHERE NOT dropped
+WITH RECURSIVE step(w, p, t) USING KEY (w, p) AS (
+  SELECT w, p, t FROM start
+  UNION
+  SELECT w, CASE WHEN half = 0 THEN p ELSE np END, CASE WHEN half = 0 THEN new_id ELSE -1 END FROM (
+    SELECT w, p, np, new_id, row_number() OVER (PARTITION BY w, k - h ORDER BY p) AS i FROM (
+      SELECT *, row_number() OVER (PARTITION BY w ORDER BY p) AS h FROM (
+        SELECT a.w, a.p, a.np, a.k, m.new_id, m.rank, min(m.rank) OVER (PARTITION BY a.w) AS least
+        FROM (SELECT w, p, t, lead(t) OVER v AS nt, lead(p) OVER v AS np, row_number() OVER v AS k FROM recurring.step WHERE t >= 0 AND w IN (SELECT w FROM step) WINDOW v AS (PARTITION BY w ORDER BY p)) a
+        JOIN merges m ON a.t = m.l AND a.nt = m.r) WHERE rank = least)), (VALUES (0), (1)) x(half)
+  WHERE i % 2 = 1
 )
-SELECT w, list(t ORDER BY p) ids FROM (SELECT *, max(n) OVER (PARTITION BY w) AS last FROM step) WHERE n = last GROUP BY w ORDER BY w
+SELECT w, list(t ORDER BY p) ids FROM step WHERE t >= 0 GROUP BY w ORDER BY w
 """
 
 
@@ -62,8 +59,6 @@ class WordEncoder:
         import duckdb
 
         self.singles, self.store = singles, {}
-        self.rank = None
-        self.merges = merges
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
         l, r, new_id = (pa.array(merges[:, i]) for i in range(3))
         table = pa.table({"l": l, "r": r, "new_id": new_id, "rank": pa.array(np.arange(len(merges), dtype=np.int32))})
@@ -74,17 +69,9 @@ class WordEncoder:
         """Encode the words not in store."""
         if len(self.store) > STORE_WORDS:
             self.store.clear()
-        new = [w for w in words if w not in self.store]
-        short = []
-        for w in new:
-            b = w.encode("utf-8", "surrogatepass")
-            if len(b) > LONG_WORD:
-                self.store[w] = self._by_heap(b)
-            else:
-                short.append((w, b))
-        # Blocks of words of like length: each drops out of the recursion when it is done.
-        for i in range(0, len(short), 20_000):
-            self._by_query(short[i : i + 20_000])
+        new = [(w, w.encode("utf-8", "surrogatepass")) for w in words if w not in self.store]
+        for i in range(0, len(new), 20_000):
+            self._by_query(new[i : i + 20_000])
 
     def _by_query(self, words: list[tuple[str, bytes]]) -> None:
         size = np.array([len(b) for _, b in words])
@@ -97,28 +84,6 @@ class WordEncoder:
         for (word, _), ids in zip(words, got.column("ids").to_pylist(), strict=True):
             self.store[word] = ids
 
-    def _by_heap(self, b: bytes) -> list[int]:
-        import heapq
-
-        if self.rank is None:
-            self.rank = {(int(x), int(y)): (k, int(z)) for k, (x, y, z) in enumerate(self.merges)}
-        t = [int(self.singles[x]) for x in b]
-        after, before = [*range(1, len(t)), -1], [-1, *range(len(t) - 1)]
-        heap = [(self.rank[q][0], i, *q) for i, q in enumerate(zip(t, t[1:])) if q in self.rank]
-        heapq.heapify(heap)
-        while heap:
-            _, i, x, y = heapq.heappop(heap)
-            j = after[i]
-            if t[i] != x or j < 0 or t[j] != y:
-                continue
-            t[i], t[j], after[i] = self.rank[x, y][1], -1, after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for a, c in ((before[i], i), (i, after[i])):
-                if a >= 0 and c >= 0 and (t[a], t[c]) in self.rank:
-                    heapq.heappush(heap, (self.rank[t[a], t[c]][0], a, t[a], t[c]))
-        return [x for x in t if x >= 0]
-
 
 _encoder: dict[str, WordEncoder] = {}
 

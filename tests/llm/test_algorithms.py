@@ -1,6 +1,7 @@
 """Operators on records: survivorship, splitting, near-duplicates, nearest time."""
 
 import random
+import zlib
 from datetime import date, timedelta
 from fractions import Fraction
 
@@ -76,15 +77,17 @@ def test_cuts_prefer_coarse_boundaries():
     assert [text[a:b] for a, b, _ in split_text(text, 13, 0)] == ["aa bb. cc dd.", "ee ff."]
     assert [text[a:b] for a, b, _ in split_text(text, 13, 6)] == ["aa bb. cc dd.", "cc dd. ee ff."]
     text = "a" * 10 + " " + "b" * 10 + " " + "c" * 10
-    assert [c for _, _, c in split_text(text, 21, 0, [11, 22])] == ["block", "block"]
+    assert [c for _, _, c in split_text(text, 21, 0, [11, 22])] == ["section", "block"]
+    assert [c for _, _, c in split_text(text, 21, 0, [11, 22], [22])] == ["section", "section"]
     assert [b - a for a, b, _ in split_text("z" * 100, 30, 5)][:2] == [25, 30]
 
 
 def test_squeeze_and_blocks():
     assert squeeze("  a \n\n b\tc ") == ("a b c", [2])
     assert squeeze("")[0] == "" and squeeze(" \n ")[0] == ""
-    assert block_starts("aa bb cc", ["aa", None, " bb\n", "cc"]) == [3, 6]
-    assert block_starts("aa bb", ["xx"]) == [] and block_starts("aa", None) == []
+    known = lambda *x: [(len(t or ""), zlib.crc32((t or "").encode()), s) for t, s in x]
+    assert block_starts("aa bb cc", known(("aa", "x"), (None, "y"), ("bb", "x"), ("cc", "z"))) == ([3, 6], [6])
+    assert block_starts("aa bb", known(("xx", "x"))) == ([], []) and block_starts("aa", None) == ([], [])
 
 
 def test_boundary():
@@ -95,14 +98,16 @@ def test_boundary():
 
 def test_split_oversized(spark):
     long = "Some words here. " * 200
-    rows = [(1, "a", "s", long, " Prose", [0, 1], "clash"), (1, "a", "s", long, "prose", None, "clash"), (2, None, None, "x" * 200_000, "prose", [5], ""), (3, "a", "s", long, "table", [0], ""), (4, "a", "s", None, "prose", [0], ""), (5, "a", "s", "", None, [0], ""), (6, "a", "s", " " * 3000, "prose", [0], "")]
+    rows = [(1, "a", "s", long, " Prose", [0, 1, 2], "clash"), (1, "a", "s", long, "prose", None, "clash"), (2, None, None, "x" * 200_000, "prose", [5], ""), (3, "a", "s", long, "table", [0], ""), (4, "a", "s", None, "prose", [0], ""), (5, "a", "s", "", None, [0], ""), (6, "a", "s", " " * 3000, "prose", [0], "")]
     chunks = spark.createDataFrame(rows, "chunk_key bigint, accession_number string, section string, text string, kind string, source_orders array<int>, piece string")
-    blocks = spark.createDataFrame([(1, "a", "Some words here. " * 100, 0), (2, "a", "Some words here. " * 100, 1), (3, "a", None, 1), (4, None, "q", 5)], "block_id bigint, accession_number string, text string, block_order int")
+    part = "Some\u00a0words  here. "
+    blocks = spark.createDataFrame([(1, "a", "A", part * 80, 0), (2, "a", "B", part * 80, 1), (3, "a", "B", None, 1), (4, None, None, "q", 5), (5, "a", "B", part * 40, 2)], "block_id bigint, accession_number string, section string, text string, block_order int")
     got = split_oversized(chunks, blocks).collect()
     assert {r.chunk_key: r.boundary for r in got} == {1: "sentence", 2: "none"}
     assert sum(r.piece_no == 0 for r in got if r.chunk_key == 1) == 2
     assert all(len(r.piece) <= LIMIT for r in got)
     assert sum(len(r.piece) for r in got if r.chunk_key == 2) <= 200_000 * LIMIT / (LIMIT - OVERLAP) + LIMIT
+    assert sorted((r.piece_no, r.cut) for r in got if r.chunk_key == 1 and r.piece_no > 0) == [(1, "block"), (1, "sentence"), (2, "block"), (2, "sentence")]
     assert split_oversized(chunks.where("false"), blocks).count() == 0
     assert split_oversized(chunks, blocks.where("false")).count() == len(got)
 

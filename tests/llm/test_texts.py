@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from ledgerline.llm import garble
 from ledgerline.llm.leakage import leaked
-from ledgerline.llm.tokenize import LONG_WORD, VOCABULARY, WordEncoder, encode_corpus, load_vocabulary
+from ledgerline.llm.tokenize import VOCABULARY, WordEncoder, encode_corpus, load_vocabulary
 from ledgerline.llm.words import column_words
 
 # ---- words -------------------------------------------------------------------------------------------------------
@@ -52,13 +52,17 @@ def test_encoding_equals_the_library(spark, tokenizer):
     assert encode_corpus(df.where("false")).count() == 0
 
 
-def test_query_and_heap_agree():
+def test_long_words_go_through_the_query_like_others(tokenizer):
+    """Words of 5,000 bytes and more, of many kinds, and runs of one character of every parity."""
     enc = WordEncoder(*load_vocabulary())
     rnd = random.Random(1)
-    words = {"".join(rnd.choice("aehlorst éñ日") for _ in range(rnd.randrange(1, 120))) for _ in range(60)}
-    assert all(len(w.encode()) <= LONG_WORD for w in words)
+    words = {"".join(rnd.choice("aehlorst éñ日").strip() or "a" for _ in range(rnd.randrange(1, 120))) for _ in range(60)}
+    words |= {"".join(rnd.choice("etaoinshrdlu") for _ in range(5_000)), "".join(rnd.choice("日本語東京都") for _ in range(7_000))}
+    words |= {c * n for c in "a日é" for n in (1, 2, 3, 5, 31, 5_000)}
     enc.learn(words)
-    assert all(enc.store[w] == enc._by_heap(w.encode()) for w in words)
+    for w in words:
+        assert enc.store[w] == tokenizer.encode(w, add_special_tokens=False).ids
+
 
 
 # ---- 8 -----------------------------------------------------------------------------------------------------------
