@@ -13,6 +13,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words kept encoded per task; beyond it the store starts anew. Speed only.
 STORE_WORDS = 400_000
+#: Texts of about so many bytes are encoded at a time.
+PORTION_BYTES = 4 << 20
 #: The table keeps the last token of each position, -1 where one has gone into the one before it; a step sees which words
 #: the step before changed. Of a word all leftmost pairs of its minimum rank are contracted at once: a merged token takes
 #: part in later merges only, so nothing of lower rank can come between. In a run of equal tokens that is every other pair.
@@ -97,8 +100,11 @@ def _encode(key: str, singles: np.ndarray, merges: np.ndarray):
             _encoder[key] = WordEncoder(singles, merges)
         enc = _encoder[key]
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PORTION_BYTES, "right")))
+                part, at = batch.slice(at, end - at), end
                 texts = part.column(1).to_pylist()
                 words = [split(t) if t else [] for t in texts]
                 enc.learn(set(chain.from_iterable(words)))
