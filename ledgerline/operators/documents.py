@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _TEXT_BLOCKS = _HEADINGS | {"p", "div"}
 _HIDDEN = {"script", "style", "ix:header", "ix:hidden"}
 _VOID = {"br", "img", "hr", "input", "meta", "link", "col", "area", "base", "embed", "source", "track", "wbr"}
+# Fixed value: how an item's title begins.
 _ITEM = re.compile(r"item\s+\d+[a-z]?\s*[.:-]", re.I)
 BLOCK_SCHEMA = "doc string, block_order int, kind string, section string, text string, caption string, rows array<array<string>>, complex_layout boolean"
 
@@ -94,7 +96,7 @@ def _below(node: _Node) -> Iterator[_Node]:
 def parse_blocks(html: str | None) -> list[tuple]:
     """(kind, section, text, caption, rows, complex_layout) of a document's prose and tables, in order."""
     tree = _Tree()
-    tree.feed(re.sub(r"^\s*<\?xml[^>]*\?>", "", html or "", count=1))
+    tree.feed(html or "")
     tree.close()
     out: list[tuple] = []
     section, caption = NO_HEADING, None
@@ -111,9 +113,10 @@ def parse_blocks(html: str | None) -> list[tuple]:
                 caption = None
             continue
         if x.tag in _TEXT_BLOCKS and not (x.tag == "div" and any(n.tag in _TEXT_BLOCKS or n.tag == "table" for n in _below(x))):
-            text = " ".join(" ".join(_strings(x)).split())
-            if text and x.tag in _HEADINGS:
-                section, caption = text, None
+            # A heading's parts are joined without blanks, and even an empty one ends the reach of a caption.
+            text = " ".join(("" if x.tag in _HEADINGS else " ").join(_strings(x)).split())
+            if x.tag in _HEADINGS:
+                section, caption = text or section, None
             elif text and len(text) < 200 and _ITEM.match(text):
                 section, caption = text, None
             elif text:
@@ -145,24 +148,34 @@ def render_table(caption: Column, rows: Column) -> Column:
     return F.concat_ws("\n", caption, F.array_join(F.transform(rows, lambda r: F.array_join(r, " | ")), "\n"))
 
 
+def _chunk_numbers(max_chars: int):
+    @F.pandas_udf("array<int>")
+    def number(sections: pd.Series, sizes: pd.Series) -> pd.Series:
+        out = []
+        for names, lengths in zip(sections, sizes):
+            no, size, now, nos = 0, 0, None, []
+            for name, n in zip(names, lengths):
+                if size > 0 and (name != now or size + n > max_chars):
+                    no, size = no + 1, 0
+                size, now = size + int(n), name
+                nos.append(no)
+            out.append(nos)
+        return pd.Series(out)
+
+    return number
+
+
 def pack_chunks(blocks: DataFrame, by: list[str], max_chars: int = MAX_CHUNK_CHARS) -> DataFrame:
     """Neighbouring prose blocks of one section greedily joined into chunks of at most max_chars (the joining blanks
     not counted): (…by, chunk_no, section, source_orders, text). A longer block stays whole.
 
-    blocks: (…by, block_order, tie, section, text). The fold runs in the JVM over one ordered array per document; its
-    state holds the open chunk only as numbers, so it is linear in the blocks.
+    blocks: (…by, block_order, tie, section, text); tie tells blocks of one order apart. The fold runs in Python over the ordered lengths of a document's
+    blocks only (a few bytes each); the texts are joined by chunk afterwards.
     """
-    g = blocks.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("block_order", "tie", "section", "text"))).alias("b"))
-    start = F.struct(F.lit(0).alias("no"), F.lit(0).cast("bigint").alias("size"), F.lit(None).cast("string").alias("section"), F.array().cast("array<int>").alias("nos"))
-
-    def step(s: Column, x: Column) -> Column:
-        n = F.length(x["text"]).cast("bigint")
-        new = (s["size"] > 0) & (~s["section"].eqNullSafe(x["section"]) | (s["size"] + n > max_chars))
-        no = s["no"] + F.when(new, 1).otherwise(0)
-        return F.struct(no.alias("no"), F.when(new, n).otherwise(s["size"] + n).alias("size"), x["section"].alias("section"), F.concat(s["nos"], F.array(no)).alias("nos"))
-
-    numbered = g.select(*by, F.arrays_zip(F.col("b"), F.aggregate("b", start, step)["nos"].alias("no")).alias("z")).select(*by, F.explode("z").alias("z"))
-    one = numbered.select(*by, F.col("z.no").alias("chunk_no"), F.col("z.b.section").alias("section"), F.col("z.b.block_order").alias("block_order"), F.col("z.b.tie").alias("tie"), F.col("z.b.text").alias("text"))
+    g = blocks.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("block_order", "tie", "section", F.length("text").alias("n")))).alias("b"))
+    numbered = g.select(*by, F.explode(F.arrays_zip(F.col("b"), _chunk_numbers(max_chars)(F.col("b.section"), F.col("b.n")).alias("no"))).alias("z"))
+    no = numbered.select(*by, F.col("z.no").alias("chunk_no"), F.col("z.b.block_order").alias("block_order"), F.col("z.b.tie").alias("tie"))
+    one = blocks.join(no, [*by, "block_order", "tie"])
     parts = one.groupBy(*by, "chunk_no").agg(F.array_sort(F.collect_list(F.struct("block_order", "tie", "text"))).alias("p"), F.first("section").alias("section"))
     return parts.select(*by, "chunk_no", "section", F.col("p.block_order").alias("source_orders"), F.array_join(F.col("p.text"), " ").alias("text"))
 
@@ -170,6 +183,7 @@ def pack_chunks(blocks: DataFrame, by: list[str], max_chars: int = MAX_CHUNK_CHA
 def numeric_cell(cell: Column) -> Column:
     """The figure in a table cell, parentheses for minus; null for anything else."""
     c = F.trim(cell)
+    # Fixed value: what a figure looks like.
     ok = c.rlike(r"^\(?\$?\s*-?[\d,]+(\.\d+)?\)?$")
     v = F.regexp_replace(c, r"[(),$\s]", "").try_cast("double")
     return F.when(ok, F.when(c.startswith("(") & c.endswith(")"), -v).otherwise(v))
@@ -213,6 +227,7 @@ def table_facts(tables: DataFrame) -> DataFrame:
     context = F.concat_ws(" ", F.coalesce("caption", F.lit("")), F.array_join(header, " "))
     days = F.array(F.col("period_end_date").cast("string"), F.lower(F.date_format("period_end_date", "MMMM d, yyyy")))
     dated = lambda h: F.exists(days, lambda d: F.lower(h).contains(d))
+    # Phrases for a year's and a quarter's duration.
     spans = F.when(F.col("fiscal_period") == "FY", F.array(*map(F.lit, ("year ended", "twelve months", "12 months")))).otherwise(F.array(*map(F.lit, ("three months", "3 months"))))
     lasting = lambda h: F.exists(spans, lambda d: F.lower(h).contains(d))
     cols = F.filter(F.transform(header, lambda h, i: F.when((i > 0) & dated(h), i)), lambda i: i.isNotNull())

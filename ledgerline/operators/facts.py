@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.normalize import bare_tag, company_number, dashed_accession, label, padded_cik, usable
 
-# Tags that report each concept, best first. LongTermDebt alone is not total debt.
+# Tags that report each concept, best first; long-term debt by itself leaves out what is due within a year.
 TAG_PRIORITY = [
     ("revenue", "RevenueFromContractWithCustomerExcludingAssessedTax", 1),
     ("revenue", "Revenues", 2),
@@ -139,30 +139,42 @@ def canonical_facts(facts: DataFrame, tag_map: DataFrame) -> DataFrame:
     return rows.join(prio, ["concept", "tag"], "left").withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "tag", "priority")
 
 
-def coverage(facts: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per company: how many target concepts have a fact, which are missing, and the rate (0 without targets)."""
+def coverage(facts: DataFrame, targets: DataFrame, companies: DataFrame) -> DataFrame:
+    """Per company of companies, those without any fact included: how many target concepts have a fact, which are
+    missing, and the rate (0 without targets). The targets are a fixed list."""
     have = facts.groupBy("company").agg(F.collect_set("concept").alias("have"))
     want = targets.agg(F.collect_set("concept").alias("want"))
-    n, hit = F.size("want"), F.size(F.array_intersect("want", "have"))
-    return have.join(F.broadcast(want)).select(
-        "company", n.alias("total"), hit.alias("resolved"), F.array_join(F.array_sort(F.array_except("want", "have")), ",").alias("missing"),
+    found = F.array_intersect("want", F.coalesce("have", F.array().cast("array<string>")))
+    n, hit = F.size("want"), F.size(found)
+    return companies.select("company").distinct().join(have, "company", "left").join(F.broadcast(want)).select(
+        "company", n.alias("total"), hit.alias("resolved"), F.array_join(F.array_sort(F.array_except("want", found)), ",").alias("missing"),
         F.when(n == 0, 0.0).otherwise(hit / n * 100).alias("rate"),
     )
 
 
-def restatements(facts: DataFrame) -> DataFrame:
-    """Periods of a concept for which different accessions give different values, over one tag per concept and period."""
-    last = facts.groupBy("company", "concept", "tag", "period_end_date", "fiscal_period", "accession_number").agg(F.max_by("val", F.struct(F.coalesce("filed_date", F.lit("0001-01-01").cast("date")), "fact_id")).alias("val"))
+def restatements(facts: DataFrame, tags: DataFrame) -> DataFrame:
+    """Periods of a concept for which different accessions give different values.
+
+    facts (company, concept, tag, period_end_date, duration, accession_number, val, filed_date, fact_id), usable or not;
+    tags (concept, tag, priority). Of each concept only the best tag the company has any row of is looked at, whether its
+    values are usable or not. Periods are told apart by end and duration (what the start says), not by label; an
+    accession counts with its last usable value.
+    """
+    known = facts.join(tags.select("concept", "tag", "priority"), ["concept", "tag"])
+    # The best tag by one aggregation beside the values, so a company's facts are shuffled once by (company, concept).
+    best = F.min("priority").over(Window.partitionBy("company", "concept"))
+    rows = known.withColumn("_best", best).where((F.col("priority") == F.col("_best")) & usable("val") & F.col("period_end_date").isNotNull() & F.col("accession_number").isNotNull())
+    last = rows.groupBy("company", "concept", "tag", "period_end_date", "duration", "accession_number").agg(F.max_by("val", F.struct(F.coalesce("filed_date", F.lit("0001-01-01").cast("date")), "fact_id")).alias("val"))
     return (
-        last.groupBy("company", "concept", "tag", "period_end_date", "fiscal_period")
-        .agg(F.count_distinct("val").alias("values"), F.min("val").alias("low"), F.max("val").alias("high"), F.count(F.lit(1)).alias("accessions"))
+        last.groupBy("company", "concept", "tag", "period_end_date", "duration")
+        .agg(F.count_distinct("val").alias("values"), F.min("val").alias("low"), F.max("val").alias("high"), F.array_sort(F.collect_set("accession_number")).alias("accessions"))
         .where("values > 1")
     )
 
 
 def citation(concept: Column, tag: Column, end: Column, unit: Column, cik: Column, accession: Column) -> Column:
     """Readable source of a fact, with the archive link where the accession is known."""
-    url = F.concat(F.lit("https://www.sec.gov/Archives/edgar/data/"), company_number(cik).cast("string"), F.lit("/"), F.replace(accession, F.lit("-"), F.lit("")), F.lit("/"))
+    url = F.concat(F.lit("https://www.sec.gov/Archives/edgar/data/"), company_number(cik).cast("string"), F.lit("/"), F.replace(accession, F.lit("-"), F.lit("")), F.lit("/"), accession, F.lit("-index.html"))
     link = F.when(accession.isNotNull(), F.concat(F.lit("["), accession, F.lit("]("), url, F.lit(")")))
     return F.concat_ws("; ", F.coalesce(tag, concept), F.concat(F.lit("period ending "), end.cast("string")), unit, link)
 

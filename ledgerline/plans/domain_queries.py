@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.normalize import collapse_space, company_number, dashed_accession, duration_class, label, padded_cik, usable
 from ledgerline.operators import compare, documents, facts, filings, narrative, records, report, retrieval
 from ledgerline.plans.registry import Registry
+from ledgerline.session import materialize
 from ledgerline.sources.tables import table
 from ledgerline.streaming import poll
 
@@ -73,14 +74,15 @@ def facts_derived_q4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.derived_fourth_quarters(_canon(spark, sf_dir)).select("company", "concept", "fiscal_year", "val", "period_end_date")
 
 
-_COVER = _CANON + """, t AS (SELECT DISTINCT concept FROM pr), co AS (SELECT DISTINCT company FROM cf),
+_COVER = _CANON + """, t AS (SELECT DISTINCT concept FROM pr), co AS (SELECT DISTINCT try_cast(trim(company_cik) AS BIGINT) company FROM filing_events WHERE try_cast(trim(company_cik) AS BIGINT) IS NOT NULL),
 c AS (SELECT co.company, count(*) total, count(h.concept) resolved, coalesce(string_agg(t.concept, ',' ORDER BY t.concept) FILTER (WHERE h.concept IS NULL), '') missing FROM co CROSS JOIN t LEFT JOIN (SELECT DISTINCT company, concept FROM cf) h ON h.company = co.company AND h.concept = t.concept GROUP BY co.company)
 """
 
 
 @FACTS.add("facts_coverage", _COVER + "SELECT company, total::INT total, resolved::INT resolved, missing, resolved / total * 100 rate FROM c")
 def facts_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.coverage(_canon(spark, sf_dir), table(spark, sf_dir, "tag_map").select(label("concept").alias("concept")))
+    watched = table(spark, sf_dir, "filing_events", "company_cik").select(company_number("company_cik").alias("company")).where("company is not null")
+    return facts.coverage(_canon(spark, sf_dir), table(spark, sf_dir, "tag_map").select(label("concept").alias("concept")), watched)
 
 
 @FACTS.add("facts_watchlist_coverage", _COVER + "SELECT sum(resolved)::BIGINT resolved, sum(total)::BIGINT total, sum(resolved) / sum(total) * 100 rate FROM c")
@@ -88,16 +90,26 @@ def facts_watchlist_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts_coverage(spark, sf_dir).agg(F.sum("resolved").alias("resolved"), F.sum("total").alias("total"), (F.sum("resolved") / F.sum("total") * 100).alias("rate"))
 
 
-@FACTS.add(
-    "facts_restatements",
-    _CANON + """, l AS (SELECT company, concept, tag, period_end_date, fiscal_period, accession_number, arg_max(val, (coalesce(filed_date, DATE '0001-01-01'), fact_id)) val FROM fx WHERE source = 'xbrl' GROUP BY ALL)
-SELECT company, concept, tag, period_end_date, fiscal_period, count(DISTINCT val) "values", min(val) low, max(val) high, count(*) accessions FROM l GROUP BY ALL HAVING count(DISTINCT val) > 1""",
-)
-def facts_restatements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "financial_facts").where(usable("val") & (F.col("source") == "xbrl")).select(
-        company_number("company_cik").alias("company"), label("concept").alias("concept"), F.substring_index("source_tag", ":", -1).alias("tag"), "period_end_date", F.upper(label("fiscal_period")).alias("fiscal_period"),
+# From the rule: first tag present of each concept, periods by end and duration, the last value of each accession.
+_RESTATED = _CANON + f""", al AS (SELECT try_cast(trim(company_cik) AS BIGINT) company, lower(trim(concept)) concept, string_split(source_tag, ':')[-1] tag, period_end_date, CASE WHEN lower(trim(fiscal_period)) = 'fy' THEN 'FY' WHEN regexp_full_match(lower(trim(fiscal_period)), 'q[1-4]') THEN 'Q' END duration,
+  {_ACC} accession_number, val, filed_date, fact_id FROM financial_facts WHERE source = 'xbrl'),
+pt AS (SELECT al.*, priority FROM al JOIN pr ON al.concept = pr.concept AND al.tag = pr.tag),
+fp AS (SELECT * FROM pt QUALIFY priority = min(priority) OVER (PARTITION BY company, concept)),
+l AS (SELECT company, concept, tag, period_end_date, duration, accession_number, arg_max(val, (coalesce(filed_date, DATE '0001-01-01'), fact_id)) val FROM fp WHERE val IS NOT NULL AND isfinite(val) AND period_end_date IS NOT NULL AND accession_number IS NOT NULL GROUP BY ALL),
+rs AS (SELECT company, concept, tag, period_end_date, duration, count(DISTINCT val) "values", min(val) low, max(val) high, list_sort(list(DISTINCT accession_number)) accessions FROM l GROUP BY ALL HAVING count(DISTINCT val) > 1)
+"""
+
+
+def _restated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "financial_facts").where(F.col("source") == "xbrl").select(
+        company_number("company_cik").alias("company"), label("concept").alias("concept"), F.substring_index("source_tag", ":", -1).alias("tag"), "period_end_date", duration_class("fiscal_period").alias("duration"),
         dashed_accession("accession_number").alias("accession_number"), "val", "filed_date", "fact_id")
-    return facts.restatements(rows)
+    return facts.restatements(rows, table(spark, sf_dir, "tag_map").select(label("concept").alias("concept"), F.col("source_tag").alias("tag"), "priority"))
+
+
+@FACTS.add("facts_restatements", _RESTATED + """SELECT company, concept, tag, period_end_date, duration, "values", low, high, array_to_string(accessions, ',') accessions FROM rs""")
+def facts_restatements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _restated(spark, sf_dir).withColumn("accessions", F.array_join("accessions", ","))
 
 
 _AS_OF = "2020-12-31"
@@ -125,7 +137,7 @@ def facts_latest_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
 @FACTS.add(
     "facts_citations",
     _CANON + """SELECT fact_id, concat_ws('; ', coalesce(source_tag, concept), 'period ending ' || period_end_date::VARCHAR, unit,
-  '[' || accession_number || '](https://www.sec.gov/Archives/edgar/data/' || company::VARCHAR || '/' || replace(accession_number, '-', '') || '/)') citation FROM cf""",
+  '[' || accession_number || '](https://www.sec.gov/Archives/edgar/data/' || company::VARCHAR || '/' || replace(accession_number, '-', '') || '/' || accession_number || '-index.html)') citation FROM cf""",
 )
 def facts_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _canon(spark, sf_dir).select("fact_id", facts.citation(F.col("concept"), F.col("source_tag"), F.col("period_end_date"), F.col("unit"), F.col("company").cast("string"), F.col("accession_number")).alias("citation"))
@@ -388,7 +400,7 @@ def narrative_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT x.passage_id, count(*) total, count(o.one) matched FROM x JOIN pf ON pf.accession_number = x.acc AND pf.b IS NOT NULL AND pf.b[2] IS NOT NULL LEFT JOIN o ON o.acc = pf.b[2] AND o.one = x.one GROUP BY ALL""",
 )
 def narrative_exact_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = narrative.sentence_table(_passages(spark, sf_dir))
+    s = materialize(narrative.sentence_table(_passages(spark, sf_dir)), "sentences")
     pairs = filings.prior_filing(_filings(spark, sf_dir)).where("prior_accession is not null").select("accession_number", "prior_accession")
     old = s.select(F.col("accession_number").alias("prior_accession"), "sentence", F.lit(1).alias("hit")).distinct()
     return s.join(pairs, "accession_number").join(old, ["prior_accession", "sentence"], "left").groupBy("passage_id").agg(F.count(F.lit(1)).alias("total"), F.count("hit").alias("matched"))
@@ -553,18 +565,18 @@ def search_reranked_filings_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top(_others(retrieval.overlap_by_term(corpus, _row_queries(corpus))), 5, ["grp", "query_id"]).select("grp", "query_id", "doc_id", "rank", "score")
 
 
-_VOCAB = """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{M}\\p{N}_]{2,}')) term FROM (SELECT doc_id, text FROM documents WHERE lower(trim(lang)) = 'en')), p AS (SELECT doc_id, term, count(*) tf FROM t GROUP BY ALL),
-v AS (SELECT term, sum(tf)::BIGINT n, count(*) df FROM p GROUP BY ALL ORDER BY n DESC, term LIMIT 256), vi AS (SELECT term, n, df, ln((1 + (SELECT count(*) FROM documents WHERE lower(trim(lang)) = 'en'))::DOUBLE / (1 + df)) + 1 idf FROM v)
+_VOCAB = """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{M}\\p{N}_]{2,}')) term FROM documents), p AS (SELECT doc_id, term, count(*) tf FROM t GROUP BY ALL),
+v AS (SELECT term, sum(tf)::BIGINT n, count(*) df FROM p GROUP BY ALL ORDER BY n DESC, term LIMIT 256), vi AS (SELECT term, n, df, ln((1 + (SELECT count(*) FROM documents))::DOUBLE / (1 + df)) + 1 idf FROM v)
 """
 
 
-def _english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents", "doc_id", "text", "lang").where(label("lang") == "en").select("doc_id", "text")
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents", "doc_id", "text")
 
 
 @RETRIEVAL.add("search_tfidf_vocabulary", _VOCAB + "SELECT term, n, df, round(idf, 6) idf FROM vi")
 def search_tfidf_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.vocabulary(_english(spark, sf_dir)).select("term", "n", "df", F.round("idf", 6).alias("idf"))
+    return retrieval.vocabulary(_texts(spark, sf_dir)).select("term", "n", "df", F.round("idf", 6).alias("idf"))
 
 
 @RETRIEVAL.add(
@@ -572,7 +584,7 @@ def search_tfidf_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     _VOCAB + ", w AS (SELECT p.doc_id, p.term, p.tf * vi.idf w FROM p JOIN vi USING (term)), m AS (SELECT *, sqrt((sum((w * w)::DECIMAL(38, 12)) OVER (PARTITION BY doc_id))::DOUBLE) norm FROM w) SELECT doc_id, count(*) terms, round(sum(round(w / norm, 9)::DECIMAL(28, 9))::DOUBLE, 5) total FROM m GROUP BY ALL",
 )
 def search_tfidf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _english(spark, sf_dir)
+    docs = _texts(spark, sf_dir)
     v = retrieval.tfidf(docs, retrieval.vocabulary(docs))
     return v.groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum(F.round("weight", 9).cast("decimal(28,9)")).cast("double"), 5).alias("total"))
 
@@ -663,8 +675,7 @@ def records_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @OTHER.add("stream_event_windows", "SELECT date_trunc('day', ts) AS day, event_type, count(*) n FROM events GROUP BY ALL")
 def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = poll.stream_table(spark, f"{sf_dir}/events.parquet")
-    return poll.stream_to_table(spark, poll.windowed_counts(s, "ts", "1 day", "event_type"), "event-windows").select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
+    return poll.closed_windows(spark, f"{sf_dir}/events.parquet", "ts", "1 day", "event_type").select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
 
 
 _QTR = """WITH b AS (SELECT s.s_nationkey company, c.concept, year(l.l_shipdate) fiscal_year, 'Q' || quarter(l.l_shipdate) fiscal_period, CASE c.concept WHEN 'revenue' THEN l.l_extendedprice ELSE l.l_extendedprice * l.l_discount END v FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey CROSS JOIN (VALUES ('revenue'), ('net_income')) c(concept)),
@@ -692,11 +703,11 @@ def docs_length_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 _YOY = f"y AS (SELECT c.company, c.concept, c.fiscal_year, c.fiscal_period, c.val current_value, p.val prior_value, {_PCT} FROM cf c JOIN cf p ON c.company = p.company AND c.concept = p.concept AND c.fiscal_period = p.fiscal_period AND c.fiscal_year = p.fiscal_year + 1)"
 
 
-@OTHER.add("report_large_changes", _CANON + f", {_YOY} SELECT company, concept, fiscal_year, fiscal_period, 'METRIC_CHANGE' rule_id, 'notable' severity FROM y WHERE abs(percent_change) >= 20")
+@OTHER.add("report_large_changes", _CANON + f", {_YOY} SELECT company, concept, fiscal_year, fiscal_period, 'METRIC_CHANGE_THRESHOLD' rule_id, 'notable' severity FROM y WHERE abs(percent_change) >= 20")
 def report_large_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = compare.year_over_year(_canon(spark, sf_dir))
     keys = ["company", "concept", "fiscal_year", "fiscal_period"]
-    return report.threshold_flags(y, F.col("percent_change"), 20.0, "METRIC_CHANGE", F.col("concept"), F.col("fiscal_period"), keys).select(*keys, "rule_id", "severity")
+    return report.threshold_flags(y, F.col("percent_change"), 20.0, "METRIC_CHANGE_THRESHOLD", F.col("concept"), F.col("fiscal_period"), keys).select(*keys, "rule_id", "severity")
 
 
 @OTHER.add(
@@ -730,5 +741,5 @@ def report_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_memos(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _canon(spark, sf_dir)
     y = compare.year_over_year(f)
-    flags = report.threshold_flags(y, F.col("percent_change"), 20.0, "METRIC_CHANGE", F.col("concept"), F.concat_ws(" ", "fiscal_year", "fiscal_period"), ["company"])
+    flags = report.threshold_flags(y, F.col("percent_change"), 20.0, "METRIC_CHANGE_THRESHOLD", F.col("concept"), F.concat_ws(" ", "fiscal_year", "fiscal_period"), ["company"])
     return report.memo_markdown(report.metric_rows(f, y), flags, "company")

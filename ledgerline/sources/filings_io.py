@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.normalize import ACCESSION_DASHED, padded_cik
 from ledgerline.operators.records import upsert
+from ledgerline.session import path_exists
 
 #: Seconds between the starts of two requests to the archive, over all its endpoints.
 REQUEST_SPACING = 0.11
@@ -53,10 +54,9 @@ class KeyedStore:
         self.spark, self.path, self.schema, self.key, self.version = spark, path, schema, key, version
 
     def _all(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(self.schema + ", _save bigint").parquet(self.path)
-        except Exception:  # noqa: BLE001 - nothing saved yet
+        if not path_exists(self.spark, self.path):  # nothing saved yet; what is there but cannot be read is an error
             return self.spark.createDataFrame([], self.schema + ", _save bigint")
+        return self.spark.read.schema(self.schema + ", _save bigint").parquet(self.path)
 
     def save(self, rows: DataFrame, save_no: int) -> None:
         """All rows of the keys in rows take the place of what was saved for them before."""
@@ -70,6 +70,13 @@ class KeyedStore:
         last = F.max("_save").over(Window.partitionBy(self.key))
         return rows.withColumn("_last", last).where("_save = _last").drop("_save", "_last")
 
+    def compact(self, to: str) -> "KeyedStore":
+        """The current rows of all versions as a store of their own at another path."""
+        rows = self._all()
+        last = F.max("_save").over(Window.partitionBy(self.key))
+        rows.withColumn("_last", last).where("_save = _last").drop("_last").write.parquet(to)
+        return KeyedStore(self.spark, to, self.schema, self.key, self.version)
+
     def keys(self) -> DataFrame:
         return self._all().select(self.key).distinct()
 

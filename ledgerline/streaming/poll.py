@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.session import shared_path
+from ledgerline.session import drop_path, path_exists, shared_path
 
 
 def read_completed(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.schema("accession_number string").parquet(path)
-    except Exception:  # noqa: BLE001 - not written yet
+    """Accessions done so far, none before the first write. A store that cannot be read is an error, not an empty one."""
+    if not path_exists(spark, path):
         return spark.createDataFrame([], "accession_number string")
+    return spark.read.schema("accession_number string").parquet(path)
 
 
 def poll_filings(stream: DataFrame, process: Callable[[DataFrame], tuple[DataFrame, DataFrame]], completed: str, out: str, checkpoint: str) -> None:
@@ -52,19 +52,27 @@ def poll_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("basePath", out).parquet(out).drop("batch")
 
 
-def windowed_counts(stream: DataFrame, ts: str, size: str, *by: str) -> DataFrame:
+def windowed_counts(stream: DataFrame, ts: str, size: str, *by: str, late: str = "1 day") -> DataFrame:
     """Counts per tumbling window. A time without zone becomes a timestamp first, as watermarks need one."""
-    return stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", "1 day").groupBy(F.window("_ts", size).alias("w"), *by).agg(F.count(F.lit(1)).alias("n"))
+    return stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late).groupBy(F.window("_ts", size).alias("w"), *by).agg(F.count(F.lit(1)).alias("n"))
 
 
-def stream_to_table(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
-    """Run an aggregating stream over the available input; the windows as they stand at its end."""
-    path, state = shared_path(spark, label), shared_path(spark, label + "-state")
+#: Far beyond any event, but not so far that adding a window to it leaves the range of timestamps.
+END_OF_TIME = "9000-01-01 00:00:00"
 
-    def batch(b: DataFrame, i: int) -> None:
-        b.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{path}/part-{i}")
 
-    df.writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    parts = spark.read.parquet(f"{path}/part-*")
-    last = parts.agg(F.max("batch").alias("batch"))
-    return parts.join(F.broadcast(last), "batch", "left_semi").drop("batch")
+def closed_windows(spark: SparkSession, path: str, ts: str, size: str, *by: str, late: str = "1 day") -> DataFrame:
+    """(w, …by, n): every window of the parquet table at path, each written once, when the watermark has passed its end,
+    and then dropped from the state. A row at the end of time, without a window in the result, closes the last ones.
+
+    The table is read as one batch, so no row is late however the files are ordered; over a live source rows later than
+    `late` would be left out, as the watermark says.
+    """
+    shape = spark.read.parquet(path).select(ts, *by)
+    out, state, end = (shared_path(spark, f"windows-{x}") for x in ("out", "state", "end"))
+    shape.limit(0).unionByName(spark.range(1).select(F.lit(END_OF_TIME).cast(shape.schema[ts].dataType).alias(ts), *[F.lit(None).cast(shape.schema[c].dataType).alias(c) for c in by])).write.parquet(end)
+    both = stream_table(spark, path, 1_000_000_000).select(ts, *by).unionByName(spark.readStream.schema(shape.schema).parquet(end))
+    counts = windowed_counts(both, ts, size, *by, late=late)
+    counts.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    drop_path(spark, state, end)
+    return spark.read.schema(counts.schema).parquet(out).where(F.col("w.start") < F.lit(END_OF_TIME).cast("timestamp"))

@@ -75,10 +75,17 @@ def test_nearest_rows_edges(spark):
     assert got[1] is None and got[3] == "no period within the window" and got[4] == "no period of this duration"
 
 
-def test_restatements_and_coverage(spark):
-    rows = spark.createDataFrame([(1, "revenue", "T", date(2024, 3, 31), "Q1", a, v, date(2024, 5, m), i) for i, (a, v, m) in enumerate([("a", 1.0, 1), ("a", 2.0, 2), ("b", 3.0, 3)])],
-                                 "company bigint, concept string, tag string, period_end_date date, fiscal_period string, accession_number string, val double, filed_date date, fact_id bigint")
-    assert [(r["values"], r.low, r.high) for r in facts.restatements(rows).collect()] == [(2, 2.0, 3.0)]
-    targets = spark.createDataFrame([("revenue",), ("net_income",)], "concept string")
-    c = facts.coverage(frame(spark, [("revenue", 2024, "Q1", 1.0)]), targets).first()
-    assert (c.total, c.resolved, c.missing, c.rate) == (2, 1, "net_income", 50.0)
+def test_restatements_look_at_the_first_tag_present(spark):
+    shape = "company bigint, concept string, tag string, period_end_date date, duration string, accession_number string, val double, filed_date date, fact_id bigint"
+    row = lambda i, tag, acc, val, dur="Q", co=1: (co, "revenue", tag, date(2024, 3, 31), dur, acc, val, date(2024, 5, i), i)
+    tags = spark.createDataFrame([("revenue", "T", 1), ("revenue", "U", 2)], "concept string, tag string, priority int")
+    got = lambda rows: [(r["values"], r.low, r.high, r.accessions) for r in facts.restatements(spark.createDataFrame(rows, shape), tags).collect()]
+    assert got([row(1, "T", "a", 1.0), row(2, "T", "a", 2.0), row(3, "T", "b", 3.0)]) == [(2, 2.0, 3.0, ["a", "b"])]
+    assert got([row(1, "T", "a", float("nan")), row(2, "U", "a", 2.0), row(3, "U", "b", 3.0)]) == []  # T is there, if without a figure
+    assert got([row(2, "U", "a", 2.0), row(3, "U", "b", 3.0, "FY")]) == [] and got([row(1, "T", None, 1.0), row(2, "T", "b", 2.0)]) == []
+
+
+def test_coverage_keeps_companies_without_facts(spark):
+    targets, companies = spark.createDataFrame([("revenue",), ("net_income",)], "concept string"), spark.createDataFrame([(1,), (2,), (2,)], "company bigint")
+    c = facts.coverage(frame(spark, [("revenue", 2024, "Q1", 1.0)]), targets, companies).orderBy("company").collect()
+    assert [(r.total, r.resolved, r.missing, r.rate) for r in c] == [(2, 1, "net_income", 50.0), (2, 0, "net_income,revenue", 0.0)]

@@ -44,13 +44,13 @@ def test_fetcher_spaces_requests_and_guards_names():
 
 def test_flags_rows_and_memo(spark):
     c = spark.createDataFrame([(1, "revenue", 2024, "Q1", 150.0, 100.0, 50.0), (1, "net_income", 2024, "Q1", -5.0, 0.0, None)], "company bigint, concept string, fiscal_year int, fiscal_period string, current_value double, prior_value double, percent_change double")
-    f = report.threshold_flags(c, F.col("percent_change"), 20.0, "METRIC_CHANGE", F.col("concept"), F.lit("src"), ["company"])
-    assert [(r.rule_id, r.detail) for r in f.collect()] == [("METRIC_CHANGE", "revenue changed by +50.00")]
+    f = report.threshold_flags(c, F.col("percent_change"), 20.0, "METRIC_CHANGE_THRESHOLD", F.col("concept"), F.lit("src"), ["company"])
+    assert [(r.rule_id, r.detail) for r in f.collect()] == [("METRIC_CHANGE_THRESHOLD", "revenue changed by +50.00")]
     facts = spark.createDataFrame([(1, "revenue", 2024, "Q1", 150.0), (1, "gross_profit", 2024, "Q1", 7.0)], "company bigint, concept string, fiscal_year int, fiscal_period string, val double")
     m = report.metric_rows(facts, c)
     assert {r.concept: r.note for r in m.collect()} == {"revenue": None, "net_income": None, "gross_profit": "No comparable prior figure"}
     memo = report.memo_markdown(m, f, "company").first().memo
-    assert "| revenue | 2024 Q1 | $150 | $100 | +50.00% |" in memo and "-$5" in memo and "- METRIC_CHANGE: revenue changed by +50.00 [src]" in memo
-    assert [(r.notable, r.lines) for r in report.alert_lines(f, "company").collect()] == [(1, ["METRIC_CHANGE: revenue changed by +50.00"])]
+    assert "| revenue | 2024 Q1 | $150 | $100 | +50.00% |" in memo and "-$5" in memo and "- METRIC_CHANGE_THRESHOLD: revenue changed by +50.00 [src]" in memo
+    assert [(r.notable, r.lines) for r in report.alert_lines(f, "company").collect()] == [(1, ["METRIC_CHANGE_THRESHOLD: revenue changed by +50.00"])]
     p = spark.createDataFrame([("html_table_fallback", "t"), ("xbrl", "derived:x"), ("xbrl", "t"), (None, None)], "s string, t string").select(report.provenance(F.col("s"), F.col("t")).alias("p"))
     assert [r.p for r in p.collect()] == ["html_table_fallback", "derived", "xbrl", "unknown"]

@@ -3,6 +3,8 @@ import json
 import re
 from pathlib import Path
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from ledgerline.operators import filings
@@ -33,7 +35,7 @@ def test_failed_filings_stay_open(spark, tmp_path):
 def test_stream_equals_batch(spark, tmp_path):
     path = str(tmp_path / "t.parquet")
     spark.range(200).select(F.timestamp_seconds(F.col("id") * 5000).cast("timestamp_ntz").alias("ts"), (F.col("id") % 3).alias("k")).write.parquet(path)
-    s = poll.stream_to_table(spark, poll.windowed_counts(poll.stream_table(spark, path, 1), "ts", "1 day", "k"), "w")
+    s = poll.closed_windows(spark, path, "ts", "1 day", "k")
     batch = spark.read.parquet(path).groupBy(F.window("ts", "1 day").alias("w"), "k").count()
     assert {(r.w.start, r.k, r.n) for r in s.collect()} == {(r.w.start, r.k, r["count"]) for r in batch.collect()}
 
@@ -63,3 +65,25 @@ def test_core_does_not_import_llm():
     for p in (ROOT / "ledgerline").rglob("*.py"):
         if "llm" not in p.relative_to(ROOT).parts:
             assert "ledgerline.llm" not in p.read_text(), p
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(monkeypatch):
+    from types import SimpleNamespace
+
+    from ledgerline import session
+
+    for master, local in (("local", True), ("local[4]", True), ("local-cluster[2,1,1024]", False), ("yarn", False), ("spark://h:7077", False)):
+        fake = SimpleNamespace(sparkContext=SimpleNamespace(master=master))
+        if local:
+            assert session._local_root(fake).startswith("file:")
+        else:
+            with pytest.raises(RuntimeError):
+                session._local_root(fake)
+
+
+def test_an_unreadable_store_is_no_empty_one(spark, tmp_path):
+    assert poll.read_completed(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad/part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception, match="(?i)parquet|cannot|failed"):
+        poll.read_completed(spark, str(tmp_path / "bad")).collect()
