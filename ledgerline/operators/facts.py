@@ -127,16 +127,25 @@ def derived_fourth_quarters(facts: DataFrame) -> DataFrame:
     return out.where(F.col("val").isNotNull())
 
 
-def canonical_facts(facts: DataFrame, tag_map: DataFrame) -> DataFrame:
-    """One fact per (company, concept, fiscal_year, fiscal_period) of a facts table: usable values only, best tag,
-    then latest filed, then lowest id. A single row_number pass; the tag table is joined by size."""
+def normalized_facts(facts: DataFrame, tag_map: DataFrame) -> DataFrame:
+    """Usable rows of a facts table in compared form, with the priority of their tag; the tag table is joined by size."""
     prio = tag_map.select(label("concept").alias("concept"), F.col("source_tag").alias("tag"), "priority")
     rows = facts.where(usable("val")).select(
         company_number("company_cik").alias("company"), label("concept").alias("concept"), "fiscal_year", F.upper(label("fiscal_period")).alias("fiscal_period"), "val", "unit",
         "period_end_date", "filed_date", "source", "source_tag", bare_tag("source_tag").alias("tag"), dashed_accession("accession_number").alias("accession_number"), "fact_id",
     ).where("company is not null and fiscal_year is not null and fiscal_period is not null")
-    w = Window.partitionBy("company", "concept", "fiscal_year", "fiscal_period").orderBy(F.col("priority").asc_nulls_last(), F.col("filed_date").desc_nulls_last(), "fact_id")
-    return rows.join(prio, ["concept", "tag"], "left").withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "tag", "priority")
+    return rows.join(prio, ["concept", "tag"], "left")
+
+
+def best_fact_order() -> list[Column]:
+    """Of several facts of one period the best tag comes first, then the one filed last, then the lowest id."""
+    return [F.col("priority").asc_nulls_last(), F.col("filed_date").desc_nulls_last(), F.col("fact_id")]
+
+
+def canonical_facts(facts: DataFrame, tag_map: DataFrame) -> DataFrame:
+    """One fact per (company, concept, fiscal_year, fiscal_period) of a facts table, by one row_number pass."""
+    w = Window.partitionBy("company", "concept", "fiscal_year", "fiscal_period").orderBy(*best_fact_order())
+    return normalized_facts(facts, tag_map).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "tag", "priority")
 
 
 def coverage(facts: DataFrame, targets: DataFrame, companies: DataFrame) -> DataFrame:
@@ -179,4 +188,4 @@ def citation(concept: Column, tag: Column, end: Column, unit: Column, cik: Colum
     return F.concat_ws("; ", F.coalesce(tag, concept), F.concat(F.lit("period ending "), end.cast("string")), unit, link)
 
 
-__all__ = ["canonical_facts", "citation", "coverage", "derived_fourth_quarters", "fiscal_period", "known_by", "latest_revision", "observations", "padded_cik", "parse_facts", "reporting_contexts", "restatements", "tag_priority"]
+__all__ = ["canonical_facts", "citation", "coverage", "derived_fourth_quarters", "fiscal_period", "known_by", "latest_revision", "normalized_facts", "observations", "padded_cik", "parse_facts", "reporting_contexts", "restatements", "tag_priority"]
