@@ -27,6 +27,7 @@ DATE_PATTERNS = [
     rf"\b{_MONTH}\s+\d{{4}}\b",
     r"\bfiscal\s+(?:year\s+)?\d{4}\b",
 ]
+# Thresholds.
 SENTENCE_SIMILARITY, UNCHANGED, REVISED, MIN_WORDS = 0.90, 0.99, 0.50, 6
 MAX_FLAGS_PER_TOPIC = 12
 
@@ -41,9 +42,10 @@ def topics_of(text: Column, topics: dict[str, list[str]] | None = None) -> Colum
 
 def comparable_text(text: Column) -> Column:
     """Dates as a placeholder, lower case, single blanks; amounts stay."""
+    text = F.lower(text)  # once, in place of patterns that ignore case
     for p in DATE_PATTERNS:
-        text = F.regexp_replace(text, "(?i)" + p, " <date> ")
-    return F.lower(collapse_space(text))
+        text = F.regexp_replace(text, p, " <date> ")
+    return collapse_space(text)
 
 
 def sentences_of(text: Column) -> Column:
@@ -75,6 +77,16 @@ def _counts(texts: list[str]) -> np.ndarray:
     return out
 
 
+def common_length(a: str, b: str, masks: dict[str, int]) -> int:
+    """Length of the longest common subsequence; masks: for each character of a the places that hold it, as bits."""
+    full = (1 << len(a)) - 1
+    row = full
+    for c in b:
+        hit = row & masks.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
+
+
 def _close(threshold: float):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = difflib.SequenceMatcher(autojunk=False)
@@ -88,16 +100,22 @@ def _close(threshold: float):
             # Shared characters, whatever their order, bound the ratio from above; classes only raise the bound.
             size = x.sum(1)[a] + y.sum(1)[b]
             near = np.flatnonzero(2.0 * np.minimum(x[a], y[b]).sum(1) >= threshold * size - 1e-9)
-            keep, last = [], -1
-            for i in near.tolist():
+            keep, last, masks = [], -1, {}
+            for i in near[np.argsort(a[near], kind="stable")].tolist():
+                s, t = cur[a[i]], old[b[i]]
                 if a[i] != last:
-                    m.set_seq2(cur[a[i]])
-                    last = a[i]
-                m.set_seq1(old[b[i]])
+                    last, masks = a[i], {}
+                    for k, c in enumerate(s):
+                        masks[c] = masks.get(c, 0) | (1 << k)
+                    m.set_seq2(s)
+                # The matching blocks are a common subsequence, so the longest one bounds the ratio too, and far closer.
+                if 2.0 * common_length(s, t, masks) < threshold * (len(s) + len(t)) - 1e-9:
+                    continue
+                m.set_seq1(t)
                 if m.ratio() >= threshold:
                     keep.append(i)
             if keep:
-                yield batch.take(pa.array(keep)).drop_columns(["old_sentence"])
+                yield batch.take(pa.array(sorted(keep))).drop_columns(["old_sentence"])
 
     return work
 
@@ -127,24 +145,74 @@ def change_status(total: Column, matched: Column, has_prior: Column) -> Column:
     return F.when(~has_prior, "unestablished").when(share >= UNCHANGED, "unchanged").when(share >= REVISED, "revised").otherwise("new")
 
 
+#: Sentences a summary quotes, and characters of each.
+QUOTED, QUOTE_CHARS = 3, 200
+
+
+def diff_summary(unmatched: Column) -> Column:
+    """What a revised passage says that its baseline does not: the first of its unmatched sentences, and how many more.
+    unmatched: array<struct<pos, sentence>> in order."""
+    shown = F.transform(F.slice(unmatched, 1, QUOTED), lambda s: F.concat(F.lit('"'), F.substring(s["sentence"], 1, QUOTE_CHARS), F.lit('"')))
+    more = F.when(F.size(unmatched) > QUOTED, F.concat(F.lit(" (+"), (F.size(unmatched) - QUOTED).cast("string"), F.lit(" more)"))).otherwise("")
+    return F.when(F.size(unmatched) == 0, "wording changed without a sentence-level difference").otherwise(F.concat(F.lit("not in the prior filing: "), F.array_join(shown, "; "), more))
+
+
 def passage_changes(passages: DataFrame, pairs: DataFrame, threshold: float = SENTENCE_SIMILARITY) -> DataFrame:
-    """(passage_id, status, similarity, prior_chunk_id): share of a passage's comparable sentences found in the baseline.
+    """(passage_id, status, similarity, prior_chunk_id, diff_summary): share of a passage's comparable sentences found in
+    the baseline.
 
     Without a baseline filing with passages the status is 'unestablished' and similarity null. The prior chunk is the
-    one most sentences come from, then the earliest. Null and empty texts have no sentence and give no row.
+    one most sentences come from, then the earliest; a summary is given of revised passages. Null and empty texts have
+    no sentence and give no row.
     """
-    # Used five times below; written once, as the regular expressions cost more than the table.
+    # Used four times below; written once, as the regular expressions cost more than the table.
     s = materialize(sentence_table(passages), "sentences")
     stored = s.select(F.col("accession_number").alias("prior_accession")).distinct()
     usable_pairs = pairs.where("prior_accession is not null").join(stored, "prior_accession")
     m = matched_sentences(s, usable_pairs, s, threshold)
-    total = s.groupBy("passage_id", "accession_number").agg(F.count(F.lit(1)).alias("total"))
-    by_chunk = m.groupBy("passage_id", "old_chunk").agg(F.count(F.lit(1)).alias("n"), F.min("old_pos").alias("first"))
-    best = by_chunk.groupBy("passage_id").agg(F.sum("n").alias("matched"), F.max(F.struct("n", (-F.col("first")).alias("f"), "old_chunk"))["old_chunk"].alias("source"))
-    j = total.join(best, "passage_id", "left").join(usable_pairs.select("accession_number", F.lit(True).alias("has")).distinct(), "accession_number", "left")
-    has, matched = F.coalesce("has", F.lit(False)), F.coalesce("matched", F.lit(0))
-    status = change_status(F.col("total"), matched, has)
-    return j.select("passage_id", status.alias("status"), F.when(has, F.round(matched / F.col("total"), 4)).alias("similarity"), F.when(status.isin("unchanged", "revised"), F.col("source")).alias("prior_chunk_id"))
+    told = s.join(m.withColumn("hit", F.lit(True)), ["passage_id", "pos"], "left")
+    by_chunk = told.groupBy("passage_id", "accession_number", "old_chunk").agg(
+        F.count(F.lit(1)).alias("n"), F.count("hit").alias("hits"), F.min("old_pos").alias("first"), F.array_sort(F.collect_list(F.when(F.col("hit").isNull(), F.struct("pos", "sentence")))).alias("rest"))
+    source = F.max(F.when(F.col("hits") > 0, F.struct("hits", (-F.col("first")).alias("f"), "old_chunk")))
+    per = by_chunk.groupBy("passage_id", "accession_number").agg(F.sum("n").alias("total"), F.sum("hits").alias("matched"), source["old_chunk"].alias("source"), F.array_sort(F.flatten(F.collect_list("rest"))).alias("rest"))
+    j = per.join(usable_pairs.select("accession_number", F.lit(True).alias("has")).distinct(), "accession_number", "left")
+    has = F.coalesce("has", F.lit(False))
+    status = change_status(F.col("total"), F.col("matched"), has)
+    return j.select(
+        "passage_id", status.alias("status"), F.when(has, F.round(F.col("matched") / F.col("total"), 4)).alias("similarity"),
+        F.when(status.isin("unchanged", "revised"), F.col("source")).alias("prior_chunk_id"), F.when(status == "revised", diff_summary(F.col("rest"))).alias("diff_summary"))
+
+
+# Rule, severity and description by status, most telling first.
+STATUS_RULES = [
+    ("new", "NEW_{}_LANGUAGE", "notable", "Passage has no close counterpart in the prior filing"),
+    ("revised", "REVISED_{}_LANGUAGE", "notable", "Passage is a reworded version of prior-filing language"),
+    ("unestablished", "UNESTABLISHED_{}_LANGUAGE", "notable", "Passage contains screened language; no prior filing on record to compare against"),
+    ("unchanged", "UNCHANGED_{}_LANGUAGE", "routine", "Passage repeats prior-filing language after rolling dates forward"),
+]
+
+
+def narrative_flags(changes: DataFrame, cap: int = MAX_FLAGS_PER_TOPIC) -> DataFrame:
+    """(accession_number, passage_id, topic, rank, rule_id, rule_description, severity, citation, detail) of screened
+    passages, at most cap per filing and topic.
+
+    changes: (accession_number, passage_id, chunk_id, section, text, topics, status, similarity, prior_chunk_id,
+    diff_summary, prior_accession, prior_date, relevance), one row a passage. Order: status, relevance (null last), the
+    more similar, chunk_id, passage_id. Rows of no known status give no flag.
+    """
+    c = changes.select("*", F.explode("topics").alias("topic"))
+    pick = lambda i, value=None: F.coalesce(*[F.when(F.col("status") == r[0], value(r) if value else F.lit(r[i])) for r in STATUS_RULES])
+    order = F.coalesce(*[F.when(F.col("status") == r[0], F.lit(i)) for i, r in enumerate(STATUS_RULES)])
+    w = Window.partitionBy("accession_number", "topic").orderBy(order, F.col("relevance").asc_nulls_last(), F.coalesce("similarity", F.lit(0.0)).desc(), "chunk_id", "passage_id")
+    top = c.where(order.isNotNull()).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap)
+    like = F.coalesce(F.format_string("%.2f", F.col("similarity")), F.lit("none"))
+    base = F.coalesce(F.concat(F.lit("compared against "), F.col("prior_accession"), F.lit(" filed "), F.col("prior_date").cast("string")), F.lit("no prior filing on record"))
+    against = F.coalesce(F.concat(F.lit("; closest prior passage "), F.col("prior_chunk_id")), F.lit(""))
+    return top.select(
+        "accession_number", "passage_id", "topic", "rank", pick(1, lambda r: F.replace(F.lit(r[1]), F.lit("{}"), F.col("topic"))).alias("rule_id"),
+        F.concat(pick(3), F.lit(" (similarity "), F.when(F.col("similarity").isNull(), "none").otherwise(like), F.lit(", "), base, F.lit(")")).alias("rule_description"), pick(2).alias("severity"),
+        F.concat(F.coalesce("section", F.lit("(no heading)")), F.lit(" ("), F.coalesce("chunk_id", F.lit("")), F.lit(")"), against).alias("citation"),
+        F.concat(F.substring("text", 1, 400), F.coalesce(F.concat(F.lit("\n\nChange: "), F.col("diff_summary")), F.lit(""))).alias("detail"))
 
 
 def capped_by_topic(changes: DataFrame, cap: int = MAX_FLAGS_PER_TOPIC) -> DataFrame:

@@ -66,6 +66,62 @@ def tfidf(docs: DataFrame, vocab: DataFrame) -> DataFrame:
     return w.select("doc_id", "term", (F.col("w") / norm).alias("weight"))
 
 
+def group_tfidf_scores(docs: DataFrame, queries: DataFrame, size: int = VOCABULARY) -> DataFrame:
+    """(grp, query_id, doc_id, score): cosine of TF-IDF vectors, fitted on each group by itself, for the pairs that share
+    a term; the others score 0.
+
+    docs: (grp, doc_id, text), queries: (query_id, query), a fixed list. Vectors are over the size terms most frequent
+    in the group, ties by term. Sums are of decimals, so the order of rows does not show.
+    """
+    exact = lambda c: F.round(c, 12).cast("decimal(38,12)")
+    tf = docs.select("grp", "doc_id", F.explode(word_tokens(F.col("text"))).alias("term")).groupBy("grp", "doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    total = docs.groupBy("grp").agg(F.count(F.lit(1)).alias("docs"))
+    terms = tf.groupBy("grp", "term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df"))
+    w = Window.partitionBy("grp").orderBy(F.col("n").desc(), "term")
+    vocab = terms.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= size).join(total, "grp").select("grp", "term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    d = tf.join(vocab, ["grp", "term"]).select("grp", "doc_id", "term", "idf", (F.col("tf") * F.col("idf")).alias("w"))
+    q = queries.select("query_id", F.explode(word_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qn"))
+    q_norm = vocab.join(F.broadcast(q), "term").groupBy("grp", "query_id").agg(F.sum(exact((F.col("qn") * F.col("idf")) ** 2)).cast("double").alias("qq"))
+    d_norm = d.groupBy("grp", "doc_id").agg(F.sum(exact(F.col("w") ** 2)).cast("double").alias("dd"))
+    dot = d.join(F.broadcast(q), "term").groupBy("grp", "query_id", "doc_id").agg(F.sum(exact(F.col("w") * F.col("qn") * F.col("idf"))).cast("double").alias("dot"))
+    return dot.join(d_norm, ["grp", "doc_id"]).join(q_norm, ["grp", "query_id"]).select("grp", "query_id", "doc_id", F.round(F.col("dot") / F.sqrt(F.col("dd") * F.col("qq")), 6).alias("score"))
+
+
+def hybrid(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(grp, query_id, doc_id, rank, score, dense_rank, sparse_rank) of the k best documents of each group by reciprocal
+    rank fusion of two rankings that both hold every document of the group, also those that share no term with the query.
+
+    Dense is the cosine of group_tfidf_scores, ties by doc_id; sparse is BM25, ties by doc_id; fused ties keep the dense
+    order. queries is a fixed list (a benchmark, the pipeline's own questions): what is ranked is documents times its
+    length. A group is one index: a filing, or one of a corpus' shards.
+    """
+    keys = ["grp", "query_id", "doc_id"]
+    pairs = docs.select("grp", "doc_id").join(F.broadcast(queries.select("query_id")))
+    dense, sparse = (x.select(*keys, F.col("score").alias(n)) for x, n in ((group_tfidf_scores(docs, queries), "dense"), (bm25(docs, queries), "sparse")))
+    both = pairs.join(dense, keys, "left").join(sparse, keys, "left")
+    by = lambda c: F.row_number().over(Window.partitionBy("grp", "query_id").orderBy(F.coalesce(c, F.lit(0.0)).desc(), "doc_id")) - 1
+    ranked = both.select(*keys, by("dense").alias("dense_rank"), by("sparse").alias("sparse_rank"))
+    score = F.round(1.0 / (RRF_K + F.col("dense_rank")) + 1.0 / (RRF_K + F.col("sparse_rank")), 12)
+    w = Window.partitionBy("grp", "query_id").orderBy(F.col("score").desc(), "dense_rank")
+    return ranked.withColumn("score", score).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).select(*keys, (F.col("_rn") - 1).alias("rank"), "score", "dense_rank", "sparse_rank")
+
+
+def rerank_overlap(hits: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The hits (grp, query_id, doc_id, rank) of each query ordered by the share of its terms they have, then by the rank
+    they came with: (grp, query_id, doc_id, rank, score). Of an empty query the first k stay as they are, without a score."""
+    t = hits.select("grp", "query_id", "doc_id", F.col("rank").alias("came")).join(docs.select("grp", "doc_id", "text"), ["grp", "doc_id"]).join(F.broadcast(queries), "query_id")
+    empty = F.size(blank_tokens(F.col("query"))) == 0
+    t = t.withColumn("score", F.when(~empty, overlap(F.col("query"), F.col("text"))))
+    w = Window.partitionBy("grp", "query_id").orderBy(F.col("score").desc_nulls_last(), "came")
+    return t.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).select("grp", "query_id", "doc_id", (F.col("_rn") - 1).alias("rank"), "score")
+
+
+def first_seen(hits: DataFrame) -> DataFrame:
+    """(grp, doc_id, place) of the documents of several queries' hits, in the order they first come up."""
+    one = hits.groupBy("grp", "doc_id").agg(F.min(F.struct("query_id", "rank")).alias("at"))
+    return one.select("grp", "doc_id", (F.row_number().over(Window.partitionBy("grp").orderBy("at")) - 1).alias("place"))
+
+
 _BLOCK = 4096
 
 

@@ -374,7 +374,7 @@ def narrative_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NORM = "text"
-for _p in narrative.DATE_PATTERNS:
+for _p in narrative.DATE_PATTERNS:  # the SQL ignores case in each pattern, the plan lowers the text first
     _NORM = f"regexp_replace({_NORM}, '(?i){_p}', ' <date> ', 'g')"
 _NORM = f"lower(trim(regexp_replace({_NORM}, '[\\s\\p{{Z}}\\x{{b}}\\x{{85}}]+', ' ', 'g')))"
 _SENT = f"""WITH n AS (SELECT passage_id, {_ACC} acc, chunk_id, {_NORM} t FROM narrative_passages WHERE text IS NOT NULL),
@@ -413,7 +413,7 @@ def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @NARRATIVE.add("narrative_changes")
 def narrative_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _changes(spark, sf_dir)
+    return _changes(spark, sf_dir).drop("diff_summary")
 
 
 _CAP = "SELECT accession_number, topic, passage_id, rank::INT rank FROM (SELECT *, row_number() OVER (PARTITION BY accession_number, topic ORDER BY CASE status WHEN 'new' THEN 0 WHEN 'revised' THEN 1 WHEN 'unestablished' THEN 2 ELSE 3 END, similarity ASC NULLS FIRST, chunk_id ASC NULLS FIRST, passage_id) rank FROM j) WHERE rank <= 12"
