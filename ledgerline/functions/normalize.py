@@ -65,3 +65,11 @@ def collapse_space(text: Column | str) -> Column:
     """Each whitespace run (no-break space included) as one blank, outer ones removed."""
     t = F.col(text) if isinstance(text, str) else text
     return F.trim(F.regexp_replace(t, WHITESPACE, " "))
+
+
+def json_list(text: Column | str, element: str) -> Column:
+    """A list out of JSON text, of elements of the given type; a bare value in its place is a list of one. A field is read
+    as its text where a schema says string."""
+    t = F.col(text) if isinstance(text, str) else text
+    bare = t if element == "string" else F.from_json(t, element)
+    return F.when(t.startswith("["), F.from_json(t, f"array<{element}>")).when(t.isNotNull(), F.array(bare))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.normalize import padded_cik
+from ledgerline.functions.normalize import json_list, padded_cik
 from ledgerline.operators.facts import iso_date
 
 # Forms that are watched, and the periodic ones among them.
 EVENT_FORMS = ("10-K", "10-Q", "8-K", "10-K/A", "10-Q/A", "8-K/A")
 PERIODIC = ("10-K", "10-Q")
-_RECENT = "struct<accessionNumber:array<string>,form:array<string>,filingDate:array<string>,reportDate:array<string>,primaryDocument:array<string>>"
+_LISTS = ("accessionNumber", "form", "filingDate", "reportDate", "primaryDocument")
+_RECENT = "struct<" + ",".join(f"{c}:string" for c in _LISTS) + ">"
 SUBMISSIONS = f"struct<cik:string,name:string,entityName:string,filings:struct<recent:{_RECENT}>>"
 
 
@@ -23,10 +24,11 @@ def form_class(form: Column) -> Column:
 def recent_filings(raw: DataFrame, payload: str = "payload") -> DataFrame:
     """Submissions documents to filing events of the watched forms.
 
-    The accession list sets the length; shorter lists give null or '', rows with a bad date or no form are left out.
+    The accession list sets the length; shorter lists give null or '', rows with a bad date or no form are left out. A bare
+    value in place of a list is a list of one.
     """
     d = raw.select(F.from_json(payload, SUBMISSIONS).alias("d")).where("d.filings.recent.accessionNumber is not null")
-    r = d.select(F.col("d.cik").alias("cik"), F.coalesce(F.nullif(F.col("d.name"), F.lit("")), F.nullif(F.col("d.entityName"), F.lit("")), F.lit("")).alias("company_name"), F.col("d.filings.recent").alias("r"))
+    r = d.select(F.col("d.cik").alias("cik"), F.coalesce(F.nullif(F.col("d.name"), F.lit("")), F.nullif(F.col("d.entityName"), F.lit("")), F.lit("")).alias("company_name"), F.struct(*[json_list(f"d.filings.recent.{c}", "string").alias(c) for c in _LISTS]).alias("r"))
     at = lambda c: F.get(F.col(f"r.{c}"), F.col("i"))
     rows = r.select("*", F.posexplode("r.accessionNumber").alias("i", "accession_number"))
     return rows.select(

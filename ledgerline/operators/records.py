@@ -32,11 +32,21 @@ def list_records(records: DataFrame, cik: str | None = None, form: str | None =
 
 def numeric_accuracy(expected: DataFrame, actual: DataFrame, tolerance: float = 0.0) -> DataFrame:
     """Per case: expected facts, found ones and those within tolerance, of (case_id, company, concept, fiscal_year,
-    fiscal_period, expected) against actual facts of the same key."""
+    fiscal_period, expected) against actual facts of the same key. A case without any expected fact has one row whose
+    concept is null; it counts none."""
     a = actual.select("company", "concept", "fiscal_year", "fiscal_period", F.col("val").alias("actual"))
     j = expected.join(a, ["company", "concept", "fiscal_year", "fiscal_period"], "left")
     ok = F.abs(F.col("actual") - F.col("expected")) <= tolerance
-    return j.groupBy("case_id").agg(F.count(F.lit(1)).alias("expected"), F.count("actual").alias("found"), F.count_if(ok).alias("correct"))
+    return j.groupBy("case_id").agg(F.count("concept").alias("expected"), F.count("actual").alias("found"), F.count_if(ok).alias("correct"))
+
+
+def case_coverage(cases: DataFrame, facts: DataFrame) -> DataFrame:
+    """Coverage of required concepts by the case's own filing: cases (case_no, case_id, company, accession_number, required
+    array<string>) against facts (company, accession_number, concept). A case that requires nothing has the rate 0."""
+    have = facts.select("company", "accession_number", "concept").distinct()
+    need = cases.select("case_no", "case_id", "company", "accession_number", F.explode_outer(F.array_distinct("required")).alias("concept"))
+    j = need.join(have.withColumn("hit", F.lit(1)), ["company", "accession_number", "concept"], "left").groupBy("case_no", "case_id").agg(F.count("concept").alias("required"), F.count("hit").alias("available"))
+    return j.select("case_id", "required", "available", F.when(F.col("required") == 0, 0.0).otherwise(F.col("available") / F.col("required") * 100).alias("rate"))
 
 
 def citation_support(claims: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.functions.normalize import collapse_space, company_number, dashed_accession, duration_class, label, padded_cik, usable
+from ledgerline.functions.normalize import collapse_space, company_number, dashed_accession, duration_class, json_list, label, padded_cik, usable
 from ledgerline.operators import compare, documents, facts, filings, narrative, records, report, retrieval
 from ledgerline.plans.registry import Registry
 from ledgerline.session import materialize
@@ -227,8 +227,10 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @FILINGS.add(
     "filings_parsed",
-    """WITH j AS (SELECT payload::JSON j FROM raw_records WHERE json_valid(payload)), a AS (SELECT j, unnest(range(json_array_length(j->'$.filings.recent.accessionNumber')::BIGINT))::INT i FROM j WHERE json_type(j->'$.filings.recent.accessionNumber') = 'ARRAY'),
-r AS (SELECT lpad(try_cast(trim(j->>'$.cik') AS BIGINT)::VARCHAR, 10, '0') company_cik, (j->'$.filings.recent.accessionNumber')->>i accession_number, (j->'$.filings.recent.form')->>i form, (j->'$.filings.recent.filingDate')->>i fd, (j->'$.filings.recent.primaryDocument')->>i pd FROM a)
+    """WITH j AS (SELECT payload::JSON j FROM raw_records WHERE json_valid(payload)),
+l AS (SELECT j, """ + ", ".join(f"CASE json_type(j->'$.filings.recent.{c}') WHEN 'ARRAY' THEN j->'$.filings.recent.{c}' ELSE json_array(j->'$.filings.recent.{c}') END {c}" for c in ("accessionNumber", "form", "filingDate", "primaryDocument")) + """ FROM j WHERE json_type(j->'$.filings.recent') = 'OBJECT'),
+a AS (SELECT *, unnest(range(json_array_length(accessionNumber)::BIGINT))::INT i FROM l),
+r AS (SELECT lpad(try_cast(trim(j->>'$.cik') AS BIGINT)::VARCHAR, 10, '0') company_cik, accessionNumber->>i accession_number, form->>i form, filingDate->>i fd, primaryDocument->>i pd FROM a)
 SELECT company_cik, accession_number, form, fd::DATE filing_date, coalesce(pd, '') primary_document FROM r WHERE form IN ('10-K', '10-Q', '8-K', '10-K/A', '10-Q/A', '8-K/A') AND regexp_full_match(fd, '\\d{4}-\\d{2}-\\d{2}') AND try_cast(fd AS DATE) IS NOT NULL AND accession_number IS NOT NULL""",
 )
 def filings_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -615,20 +617,44 @@ def search_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- evaluation, records, streams, general tables ----------------------------------------------------------------
 
 
+_CASES = _CANON + """, jj AS (SELECT row_number() OVER () rn, payload::JSON j FROM raw_records WHERE json_valid(payload)), jc AS (SELECT rn, CASE json_type(j->'$.numeric_cases') WHEN 'ARRAY' THEN j->'$.numeric_cases' ELSE json_array(j->'$.numeric_cases') END cs FROM jj WHERE json_type(j) = 'OBJECT' AND json_type(j->'$.numeric_cases') IN ('ARRAY', 'OBJECT')),
+ki AS (SELECT rn, cs, unnest(range(json_array_length(cs)::BIGINT))::INT i FROM jc), k AS (SELECT rn, i, cs->i one FROM ki WHERE json_type(cs->i) = 'OBJECT'),
+kk AS (SELECT rn, i, one->>'$.case_id' case_id, try_cast(trim(one->>'$.cik') AS BIGINT) company, one->>'$.accession_number' accession_number, one->'$.required_concepts' rq, one->'$.expected_facts' ef FROM k),
+xf AS (SELECT case_id, company, unnest(CASE WHEN json_type(ef) = 'ARRAY' AND json_array_length(ef) > 0 THEN ef->'$[*]' WHEN json_type(ef) = 'OBJECT' THEN [ef] ELSE [NULL::JSON] END) f FROM kk)
+"""
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numeric cases of the benchmarks (case_no, case_id, company, accession_number, required, facts); bare values are
+    lists of one."""
+    d = table(spark, sf_dir, "raw_records", "payload").select(F.monotonically_increasing_id().alias("record_no"), F.from_json("payload", "struct<numeric_cases:string>").alias("d"))
+    case = "struct<case_id:string,cik:string,accession_number:string,required_concepts:string,expected_facts:string>"
+    k = d.select("record_no", F.posexplode(json_list("d.numeric_cases", case)).alias("at", "k")).where("k is not null")
+    return k.select(F.struct("record_no", "at").alias("case_no"), "k.case_id", company_number("k.cik").alias("company"), F.col("k.accession_number").alias("accession_number"),
+                    json_list("k.required_concepts", "string").alias("required"), json_list("k.expected_facts", "struct<concept:string,fiscal_year:string,fiscal_period:string,value:string>").alias("facts"))
+
+
 @OTHER.add(
     "eval_numeric_accuracy",
-    _CANON + """, c AS (SELECT unnest(json_transform(payload::JSON->'$.numeric_cases', '[{"case_id":"VARCHAR","cik":"VARCHAR","expected_facts":[{"concept":"VARCHAR","fiscal_year":"VARCHAR","fiscal_period":"VARCHAR","value":"VARCHAR"}]}]')) k FROM raw_records WHERE json_valid(payload) AND json_type(payload::JSON->'$.numeric_cases') = 'ARRAY'),
-x AS (SELECT k.case_id case_id, try_cast(trim(k.cik) AS BIGINT) company, unnest(k.expected_facts) f FROM c)
-SELECT x.case_id, count(*) expected, count(cf.val) found, count(*) FILTER (WHERE abs(cf.val - try_cast(f.value AS DOUBLE)) <= 0.5) correct FROM x LEFT JOIN cf ON cf.company = x.company AND cf.concept = lower(trim(f.concept)) AND cf.fiscal_year = try_cast(f.fiscal_year AS INT) AND cf.fiscal_period = upper(trim(f.fiscal_period)) GROUP BY x.case_id""",
+    _CASES + """SELECT x.case_id, count(f->>'$.concept') expected, count(cf.val) found, count(*) FILTER (WHERE abs(cf.val - try_cast(f->>'$.value' AS DOUBLE)) <= 0.5) correct FROM xf x LEFT JOIN cf ON cf.company = x.company AND cf.concept = lower(trim(f->>'$.concept')) AND cf.fiscal_year = try_cast(f->>'$.fiscal_year' AS INT) AND cf.fiscal_period = upper(trim(f->>'$.fiscal_period')) GROUP BY x.case_id""",
 )
 def eval_numeric_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shape = "struct<numeric_cases:array<struct<case_id:string,cik:string,expected_facts:array<struct<concept:string,fiscal_year:string,fiscal_period:string,value:string>>>>>"
-    d = table(spark, sf_dir, "raw_records", "payload").select(F.from_json("payload", shape).alias("d"))
-    cases = d.select(F.explode("d.numeric_cases").alias("k")).select("k.case_id", "k.cik", F.explode("k.expected_facts").alias("f"))
-    expected = cases.select("case_id", company_number("cik").alias("company"), label("f.concept").alias("concept"), F.col("f.fiscal_year").try_cast("int").alias("fiscal_year"), F.upper(label("f.fiscal_period")).alias("fiscal_period"), F.col("f.value").try_cast("double").alias("expected"))
+    cases = _cases(spark, sf_dir).select("case_id", "company", F.explode_outer("facts").alias("f"))
+    expected = cases.select("case_id", "company", label("f.concept").alias("concept"), F.col("f.fiscal_year").try_cast("int").alias("fiscal_year"), F.upper(label("f.fiscal_period")).alias("fiscal_period"), F.col("f.value").try_cast("double").alias("expected"))
     return records.numeric_accuracy(expected, _canon(spark, sf_dir), 0.5)
 
 
+@OTHER.add(
+    "eval_case_coverage",
+    _CASES + """, rc AS (SELECT rn, i, case_id, company, accession_number, unnest(CASE WHEN json_type(rq) = 'ARRAY' AND json_array_length(rq) > 0 THEN list_distinct(list_transform(rq->>'$[*]', lambda x: lower(trim(x)))) WHEN json_type(rq) = 'VARCHAR' THEN [lower(trim(rq->>'$'))] ELSE [NULL] END) concept FROM kk),
+h AS (SELECT DISTINCT company, accession_number, concept FROM cf), g AS (SELECT rc.rn, rc.i, case_id, count(rc.concept) required, count(h.concept) available FROM rc LEFT JOIN h ON h.company = rc.company AND h.accession_number = rc.accession_number AND h.concept = rc.concept GROUP BY ALL)
+SELECT case_id, required, available, CASE WHEN required = 0 THEN 0 ELSE available / required * 100 END::DOUBLE rate FROM g""",
+)
+def eval_case_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = _cases(spark, sf_dir).withColumn("required", F.array_distinct(F.array_compact(F.transform("required", label))))
+    return records.case_coverage(cases, _canon(spark, sf_dir))
+
+
 @OTHER.add(
     "eval_citation_support",
     """WITH c AS (SELECT passage_id, accession_number, chunk_id, text FROM narrative_passages WHERE chunk_id IS NOT NULL AND accession_number IS NOT NULL), k AS (SELECT accession_number || '/' || chunk_id cid, max(text) text FROM c GROUP BY ALL)
