@@ -87,6 +87,17 @@ def align_peers(asked: DataFrame, rows: DataFrame) -> DataFrame:
     )
 
 
+def peer_table(aligned: DataFrame, figures: DataFrame, by: list[str], label: Column) -> DataFrame:
+    """Aligned peers with their figures, margins and place: aligned ones first, the nearest first, then by label.
+
+    aligned: (…by, ask_id, row_id, offset_days, reason, …); figures: (row_id, revenue, net_income, gross_profit). A figure
+    the row lacks is null, as are the margins without a revenue other than 0.
+    """
+    ratio = lambda c: F.when(F.col("revenue") != 0, F.col(c) / F.col("revenue") * 100)
+    w = Window.partitionBy(*by).orderBy(F.col("row_id").isNull(), F.coalesce(F.abs("offset_days"), F.lit(0)), label, "ask_id")
+    return aligned.join(figures, "row_id", "left").withColumns({"net_margin_pct": ratio("net_income"), "gross_margin_pct": ratio("gross_profit"), "place": F.row_number().over(w)})
+
+
 def alignment_summary(aligned: DataFrame, by: str) -> DataFrame:
     """Aligned and asked peers per subject, the widest offset among the aligned (0 if none) and how many are wide."""
     apart = F.abs("offset_days")
@@ -94,4 +105,4 @@ def alignment_summary(aligned: DataFrame, by: str) -> DataFrame:
         F.count(F.lit(1)).alias("asked"), F.count("row_id").alias("aligned"), F.coalesce(F.max(apart), F.lit(0)).alias("widest"), F.count_if(apart > WIDE_OFFSET_DAYS).alias("wide"))
 
 
-__all__ = ["align_peers", "alignment_summary", "duration_class", "margins", "nearest_rows", "peers_by_label", "percent_change", "quarter_over_quarter", "year_over_year"]
+__all__ = ["align_peers", "alignment_summary", "duration_class", "margins", "nearest_rows", "peer_table", "peers_by_label", "percent_change", "quarter_over_quarter", "year_over_year"]

@@ -180,6 +180,22 @@ def pack_chunks(blocks: DataFrame, by: list[str], max_chars: int = MAX_CHUNK_CHA
     return parts.select(*by, "chunk_no", "section", F.col("p.block_order").alias("source_orders"), F.array_join(F.col("p.text"), " ").alias("text"))
 
 
+def chunk_blocks(blocks: DataFrame, by: list[str], max_chars: int = MAX_CHUNK_CHARS) -> DataFrame:
+    """Chunks of prose and tables: (…by, chunk_id, kind, section, source_orders, text).
+
+    A table is a chunk of its own and ends the prose chunk before it; prose is packed as by pack_chunks. The id names the
+    kind and the first block. blocks: (…by, block_order, tie, kind, section, text, caption, rows).
+    """
+    is_table = F.col("kind") == "table"
+    text = F.when(is_table, render_table(F.col("caption"), F.col("rows"))).otherwise(F.col("text"))
+    # A name of its own keeps each table apart from whatever stands beside it.
+    name = F.when(is_table, F.concat_ws(":", F.lit("table"), "block_order", "tie", "section")).otherwise(F.concat(F.lit("prose:"), F.coalesce("section", F.lit(NO_HEADING))))
+    c = pack_chunks(blocks.select(*by, "block_order", "tie", name.alias("section"), text.alias("text")), by, max_chars)
+    kind = F.substring_index("section", ":", 1)
+    section = F.when(kind == "table", F.regexp_replace("section", "^table:[^:]*:[^:]*:?", "")).otherwise(F.substring("section", 7, 1 << 30))
+    return c.select(*by, F.concat(kind, F.lit("-"), F.get("source_orders", F.lit(0)).cast("string")).alias("chunk_id"), kind.alias("kind"), section.alias("section"), "source_orders", "text")
+
+
 def numeric_cell(cell: Column) -> Column:
     """The figure in a table cell, parentheses for minus; null for anything else."""
     c = F.trim(cell)

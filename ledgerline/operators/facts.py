@@ -39,14 +39,14 @@ def iso_date(c: Column) -> Column:
 def observations(raw: DataFrame, payload: str = "payload") -> DataFrame:
     """Flat observations of nested companyfacts documents: company, ns, tag, unit, pos and the observation's fields.
 
-    Documents that do not parse give no row. pos keeps the input order, by which ties resolve.
+    Documents that do not parse give no row. tag_pos and pos keep the input order, by which ties resolve.
     """
     doc = raw.select(F.from_json(payload, COMPANYFACTS).alias("d")).where("d.facts is not null")
     tags = doc.select(F.expr("try_cast(d.cik as bigint)").alias("company"), F.col("d.entityName").alias("company_name"), F.explode("d.facts").alias("ns", "tags"))
-    units = tags.select("company", "company_name", "ns", F.explode("tags").alias("tag", "body"))
-    entries = units.select("company", "company_name", "ns", "tag", F.explode("body.units").alias("unit", "entries"))
-    return entries.select("company", "company_name", "ns", "tag", "unit", F.posexplode("entries").alias("pos", "o")).select(
-        "company", "company_name", "ns", "tag", "unit", "pos", F.col("o.start").alias("start"), iso_date(F.col("o.end")).alias("end"), F.expr("try_cast(o.val as double)").alias("val"),
+    units = tags.select("company", "company_name", "ns", F.posexplode("tags").alias("tag_pos", "tag", "body"))
+    entries = units.select("company", "company_name", "ns", "tag_pos", "tag", F.explode("body.units").alias("unit", "entries"))
+    return entries.select("company", "company_name", "ns", "tag_pos", "tag", "unit", F.posexplode("entries").alias("pos", "o")).select(
+        "company", "company_name", "ns", "tag_pos", "tag", "unit", "pos", F.col("o.start").alias("start"), iso_date(F.col("o.end")).alias("end"), F.expr("try_cast(o.val as double)").alias("val"),
         F.expr("try_cast(o.fy as int)").alias("fy"), F.col("o.fp").alias("fp"), F.col("o.form").alias("form"), iso_date(F.col("o.filed")).alias("filed"), F.col("o.accn").alias("accn"),
     )
 
@@ -59,7 +59,7 @@ def known_by(obs: DataFrame, as_of: Column | None, filed: str = "filed") -> Data
 def reporting_contexts(obs: DataFrame) -> DataFrame:
     """Per accession the latest period end it reports, with its fiscal year and period; the first row wins a tie."""
     ok = obs.where(F.col("form").isin(*PERIODIC_FORMS) & F.col("fp").isin("Q1", "Q2", "Q3", "Q4", "FY") & F.col("end").isNotNull() & F.col("fy").isNotNull() & F.col("accn").isNotNull())
-    first = F.struct("end", (-F.col("pos")).alias("p"))
+    first = F.struct("end", (-F.col("tag_pos")).alias("t"), (-F.col("pos")).alias("p"))
     return ok.groupBy("company", "accn").agg(F.max_by(F.struct("end", "fy", "fp"), first).alias("context"))
 
 
@@ -99,7 +99,7 @@ def parse_facts(raw: DataFrame, payload: str = "payload", as_of: Column | None =
         .select("company", "concept", F.col("p.fy").alias("fiscal_year"), F.col("p.fp").alias("fiscal_period"), "val", F.col("end").alias("period_end_date"), F.col("filed").alias("filed_date"),
                 F.concat(F.lit("us-gaap:"), "tag").alias("source_tag"), F.col("accn").alias("accession_number"), "priority", "pos")
     )
-    per_tag = latest_revision(placed, ["company", "concept", "fiscal_year", "fiscal_period", "priority"], "filed_date", F.col("pos"))
+    per_tag = latest_revision(placed, ["company", "concept", "fiscal_year", "fiscal_period", "priority"], "filed_date", F.col("pos"), F.col("accession_number"))
     w = Window.partitionBy("company", "concept", "fiscal_year", "fiscal_period").orderBy("priority")
     facts = per_tag.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "priority", "pos")
     return facts.unionByName(derived_fourth_quarters(facts))
