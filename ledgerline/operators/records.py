@@ -77,3 +77,33 @@ def size_gate(cases: DataFrame, companies: int = 5, queries: int = 30) -> DataFr
     """(companies, queries, unique, enough) of benchmark cases (company, query_id): large enough, and no query id twice."""
     n = cases.agg(F.count_distinct("company").alias("companies"), F.count_distinct("query_id").alias("queries"), F.count("query_id").alias("rows"))
     return n.select("companies", "queries", (F.col("queries") == F.col("rows")).alias("unique"), ((F.col("companies") >= companies) & (F.col("queries") >= queries)).alias("enough"))
+
+
+# Metrics of an evaluation and the least (latency: the most) they are to reach.
+TARGETS = {"numeric_accuracy_pct": 100.0, "coverage_pct": 90.0, "precision_pct": 85.0, "citation_support_pct": 90.0, "latency_max_s": 600.0}
+
+
+def evaluation_report(**counted: DataFrame) -> DataFrame:
+    """(metric, value, target, passed, numerator, denominator): one row a metric of TARGETS.
+
+    Each DataFrame has one row (numerator, denominator), of latency_max_s (numerator, the longest time, and 1). What has
+    nothing to count, or no DataFrame, is unmeasured: value and passed are null.
+    """
+    if unknown := set(counted) - set(TARGETS):
+        raise ValueError(f"no such metric: {sorted(unknown)}")
+    rows = None
+    for name, target in TARGETS.items():
+        if name not in counted:
+            continue
+        n, d = F.col("numerator").cast("double"), F.col("denominator").cast("double")
+        value = F.when(d > 0, n if name == "latency_max_s" else n / d * 100)
+        one = counted[name].select(F.lit(name).alias("metric"), value.alias("value"), F.lit(target).alias("target"), ((value <= target) if name == "latency_max_s" else (value >= target)).alias("passed"), n.alias("numerator"), d.alias("denominator"))
+        rows = one if rows is None else rows.unionByName(one)
+    if rows is None:
+        raise ValueError("nothing to report")
+    missing = [(n, TARGETS[n]) for n in TARGETS if n not in counted]
+    if missing:
+        null = F.lit(None).cast("double")
+        rest = rows.sparkSession.createDataFrame(missing, "metric string, target double").select("metric", null.alias("value"), "target", F.lit(None).cast("boolean").alias("passed"), null.alias("numerator"), null.alias("denominator"))
+        rows = rows.unionByName(rest)
+    return rows

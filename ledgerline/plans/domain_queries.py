@@ -685,6 +685,21 @@ def eval_citation_whole_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.citation_support(claims, chunks)
 
 
+@OTHER.add(
+    "eval_report",
+    _CASES + """, na AS (SELECT count(f->>'$.concept') d, count(*) FILTER (WHERE abs(cf.val - try_cast(f->>'$.value' AS DOUBLE)) <= 0.5) n FROM xf x LEFT JOIN cf ON cf.company = x.company AND cf.concept = lower(trim(f->>'$.concept')) AND cf.fiscal_year = try_cast(f->>'$.fiscal_year' AS INT) AND cf.fiscal_period = upper(trim(f->>'$.fiscal_period'))),
+rc AS (SELECT rn, i, company, accession_number, unnest(list_distinct(list_transform(rq->>'$[*]', lambda x: lower(trim(x))))) concept FROM kk WHERE json_type(rq) = 'ARRAY' UNION ALL SELECT rn, i, company, accession_number, lower(trim(rq->>'$')) FROM kk WHERE json_type(rq) = 'VARCHAR'),
+h AS (SELECT DISTINCT company, accession_number, concept FROM cf), cv AS (SELECT count(rc.concept) d, count(h.concept) n FROM rc LEFT JOIN h ON h.company = rc.company AND h.accession_number = rc.accession_number AND h.concept = rc.concept)
+SELECT 'numeric_accuracy_pct' metric, CASE WHEN d > 0 THEN n / d * 100 END::DOUBLE AS value, 100.0::DOUBLE target, n / d * 100 >= 100 passed, n::DOUBLE numerator, d::DOUBLE denominator FROM na UNION ALL SELECT 'coverage_pct', CASE WHEN d > 0 THEN n / d * 100 END::DOUBLE, 90.0::DOUBLE, n / d * 100 >= 90, n::DOUBLE, d::DOUBLE FROM cv
+UNION ALL SELECT * FROM (VALUES ('precision_pct', NULL::DOUBLE, 85.0::DOUBLE, NULL::BOOLEAN, NULL::DOUBLE, NULL::DOUBLE), ('citation_support_pct', NULL, 90.0, NULL, NULL, NULL), ('latency_max_s', NULL, 600.0, NULL, NULL, NULL))""",
+)
+def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures and coverage of the benchmarks; what they carry no labels for stays unmeasured."""
+    figures = eval_numeric_accuracy(spark, sf_dir).agg(F.sum("correct").alias("numerator"), F.sum("expected").alias("denominator"))
+    cover = eval_case_coverage(spark, sf_dir).agg(F.sum("available").alias("numerator"), F.sum("required").alias("denominator"))
+    return records.evaluation_report(numeric_accuracy_pct=figures, coverage_pct=cover)
+
+
 _REC = f"""WITH {_EV}, one AS (SELECT accession_number, arg_min(company, event_id) company, arg_min(form, event_id) form, arg_min(filing_date, event_id) filing_date FROM ev WHERE accession_number IS NOT NULL GROUP BY ALL),
 n AS (SELECT {_ACC} accession_number, count(*) FILTER (WHERE lower(trim(status)) <> 'unchanged') notable FROM passage_changes GROUP BY ALL)
 SELECT one.accession_number, lpad(company::VARCHAR, 10, '0') company_cik, form, filing_date, coalesce(notable, 0) notable FROM one LEFT JOIN n USING (accession_number) WHERE coalesce(notable, 0) > 0 ORDER BY filing_date DESC NULLS LAST, accession_number DESC LIMIT 50"""

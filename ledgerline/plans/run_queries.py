@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.normalize import bare_tag, company_number, dashed_accession, label, usable
 from ledgerline.operators import compare, documents, facts, filing_run, filings, records, retrieval
-from ledgerline.plans.domain_queries import _ACC, _CANON, _PEERS, _aligned, _blocks, _canon, _queries, _table_lines, _Q
+from ledgerline.plans.domain_queries import _ACC, _CANON, _PEERS, _Q, _aligned, _blocks, _queries
 from ledgerline.plans.registry import Registry
 from ledgerline.plans.text_queries import _FILED, POOL, _filed_chunks, _hybrid_sql
-from ledgerline.session import materialize
+from ledgerline.session import materialize, shared_path
 from ledgerline.sources.tables import table
+from ledgerline.streaming import poll
 
 RUN = Registry()
 REGISTRIES = [RUN]
@@ -82,6 +83,24 @@ def pipeline_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("accession_number", "company", "form", "filing_date", "fiscal_year", "fiscal_period", "error", "coverage_pct", F.array_join("missing", ",").alias("missing"), "notable")
 
 
+@RUN.add("pipeline_polled", _RUN + "SELECT acc accession_number, error, error IS NULL acknowledged FROM pd")
+def pipeline_polled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same run as a stream: every new accession processed, results written, and only those acknowledged that did not
+    fail; the failed ones stay open for a later run."""
+    held = filing_run.with_year_end_debt(facts.normalized_facts(table(spark, sf_dir, "financial_facts"), table(spark, sf_dir, "tag_map")).where(F.col("concept").isin(*facts.CONCEPTS)))
+
+    def process(new: DataFrame) -> tuple[DataFrame, DataFrame]:
+        e = new.select("accession_number", company_number("company_cik").alias("company"), F.upper(F.trim("form")).alias("form"), "filing_date", "report_date")
+        p = filing_run.filing_periods(e, held).select("accession_number", "error")
+        return p, p.where("error is null")
+
+    events = poll.stream_table(spark, f"{sf_dir}/filing_events.parquet", 64).withColumn("accession_number", dashed_accession("accession_number"))
+    done, out, state = (shared_path(spark, f"run-{x}") for x in ("done", "out", "state"))
+    poll.poll_filings(events, process, done, out, state)
+    told = spark.read.option("basePath", out).parquet(out).select("accession_number", "error")
+    return told.join(poll.read_completed(spark, done).withColumn("ok", F.lit(True)), "accession_number", "left").select("accession_number", "error", F.coalesce("ok", F.lit(False)).alias("acknowledged"))
+
+
 # ---- nested facts parsed -----------------------------------------------------------------------------------------
 
 # The rules over flat rows: start from the label's duration, context from the accession's latest end, quarters counted back.

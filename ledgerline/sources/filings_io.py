@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 import re
 import threading
 import time
@@ -46,6 +47,22 @@ def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return df.where("_bad is null").drop("_bad")
 
 
+def write_memos(memos: DataFrame, path: str) -> None:
+    """Memos (accession_number, memo) as text, a folder for each accession; written again, a memo takes the place of the
+    one before. An accession that is none fails the write."""
+    ok = F.assert_true(F.col("accession_number").rlike(ACCESSION_DASHED), F.concat(F.lit("malformed accession number: "), F.coalesce("accession_number", F.lit("none"))))
+    memos.where(ok.isNull()).select("accession_number", "memo").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("accession_number").text(path)
+
+
+def below(root: str, relative: str) -> str:
+    """The path of a file a benchmark names; one that leaves the root is an error."""
+    base = posixpath.normpath(root)
+    path = posixpath.normpath(posixpath.join(base, relative))
+    if posixpath.isabs(relative) or (path != base and not path.startswith(base.rstrip("/") + "/")):
+        raise ValueError(f"path leaves {root}: {relative}")
+    return path
+
+
 class KeyedStore:
     """A parquet table with one current row (or set of rows) per key. Saves append under a growing version, so a save
     that fails leaves the stored state as it was, and a repeated save of the same version is the same state."""
@@ -106,4 +123,4 @@ class Fetcher:
         return self.fetch(f"https://www.sec.gov/Archives/edgar/data/{int(cik)}/{accession.replace('-', '')}/{name}")
 
 
-__all__ = ["Fetcher", "KeyedStore", "json_records", "review_sheet", "upsert", "watchlist", "whole_documents", "write_sheet"]
+__all__ = ["Fetcher", "KeyedStore", "below", "json_records", "review_sheet", "upsert", "watchlist", "whole_documents", "write_memos", "write_sheet"]
