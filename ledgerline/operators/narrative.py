@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.normalize import collapse_space
-from ledgerline.session import materialize
+from ledgerline.session import materialize, spread
 
 # Words by topic, found anywhere in the lower-cased text.
 TOPICS = {
@@ -64,7 +64,7 @@ def _comparable(parts: Column, text: Column) -> Column:
 
 def sentence_table(passages: DataFrame) -> DataFrame:
     """(company, accession_number, passage_id, chunk_id, pos, sentence) of passages (…, text)."""
-    p = passages.where(F.col("text").isNotNull()).withColumn("_t", comparable_text(F.col("text"))).withColumn("_p", F.split("_t", _SENTENCE_GAP))
+    p = spread(passages.where(F.col("text").isNotNull())).withColumn("_t", comparable_text(F.col("text"))).withColumn("_p", F.split("_t", _SENTENCE_GAP))
     return p.select("company", "accession_number", "passage_id", "chunk_id", F.posexplode(_comparable(F.col("_p"), F.col("_t"))).alias("pos", "sentence"))
 
 

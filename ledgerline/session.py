@@ -67,6 +67,20 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{own}/{label}-{uuid.uuid4().hex}"
 
 
+#: Tables up to this size are dealt out where they come in fewer tasks than there are cores.
+SPREAD_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """For work that costs far more than reading: a small table of few files, which would be few tasks, dealt out over
+    the cores. Any other is left as it is, without an exchange."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > SPREAD_BYTES or 2 * df.rdd.getNumPartitions() > cores:
+        return df
+    return df.repartition(cores)
+
+
 def make_path(spark: SparkSession, path: str) -> str:
     p, fs = _hadoop(spark, path)
     fs.mkdirs(p)
