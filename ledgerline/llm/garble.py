@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.session import materialize
+from ledgerline.session import materialize, spread
 
 #: Encodings UTF-8 bytes may have been read with.
 READERS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "cp852", "cp866", "iso8859-2", "iso8859-15", "cp1253", "cp1254", "cp1257", "koi8_r", "mac_latin2")
@@ -211,7 +211,7 @@ class Learned:
 
     def __init__(self, documents: DataFrame):
         spark = documents.sparkSession
-        counts = documents.select("text").mapInArrow(_survey, "kind int, key string, surface string, n bigint").groupBy("kind", "key", "surface").agg(F.sum("n").alias("n"))
+        counts = spread(documents.select("text")).mapInArrow(_survey, "kind int, key string, surface string, n bigint").groupBy("kind", "key", "surface").agg(F.sum("n").alias("n"))
         counts = materialize(counts, "garble-counts")
         tokens = counts.where("kind = 0").select("key", "surface", "n")
         best = tokens.groupBy("key").agg(F.max(F.struct("n", "surface")).alias("best"), F.count(F.lit(1)).alias("forms")).where("forms > 1")
@@ -286,7 +286,7 @@ _APPLIED = "doc_id bigint, sure boolean, key string, surface string"
 def _seen(documents: DataFrame, learned: Learned, every: bool) -> DataFrame:
     """(doc_id, sure, key, surface, way) of what _apply finds, in one pass; way where the piece is a learned surface.
     Both sides grow with the corpus: the join is never a broadcast one."""
-    seen = documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_apply(learned.mapping, learned.swaps, every), _APPLIED)
+    seen = spread(documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint"), "text")).mapInArrow(_apply(learned.mapping, learned.swaps, every), _APPLIED)
     if not learned.swaps:
         return seen.withColumn("way", F.lit(None).cast("string"))
     return seen.join(learned.surfaces.hint("merge"), ["key", "surface"], "left").where("sure or way is not null")

@@ -15,10 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.words import Words, column_words, gram_hashes
+from ledgerline.session import spread
 
 SPAN, GRAM = 12, 8
-#: Bits of the filter that keeps corpus fingerprints no item has out of the shuffle. It is fixed, whatever the number of items.
-FILTER_BITS = 1 << 22
+#: Bits of the filter that keeps corpus fingerprints no item has out of the shuffle, for each fingerprint of the items;
+#: from and up to so many in all, half a megabyte and 16.
+BITS_PER_PRINT, LEAST_BITS, MOST_BITS = 16, 1 << 22, 1 << 27
 _SCHEMA = "id bigint, fp bigint, gram string, before array<string>, after array<string>"
 _ARROW = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("gram", pa.string()), ("before", pa.list_(pa.string())), ("after", pa.list_(pa.string()))])
 
@@ -42,8 +44,8 @@ def winnow(w: Words, span: int = SPAN, k: int = GRAM) -> tuple[np.ndarray, np.nd
     return at, grams[at]
 
 
-def _slots(fp: np.ndarray) -> list[np.ndarray]:
-    mask = np.uint64(FILTER_BITS - 1)
+def _slots(fp: np.ndarray, size: int) -> list[np.ndarray]:
+    mask = np.uint64(size - 1)
     return [(fp >> np.uint64(8)) & mask, (fp >> np.uint64(36)) & mask]
 
 
@@ -59,7 +61,7 @@ def _prints(bits: bytes | None, span: int, k: int):
             for w in column_words(batch.column(1)):
                 at, fp = winnow(w, span, k)
                 if have is not None:
-                    a, b = _slots(fp)
+                    a, b = _slots(fp, len(have))
                     keep = have[a] & have[b]
                     at, fp = at[keep], fp[keep]
                 signed = fp.view(np.int64)
@@ -77,21 +79,34 @@ def _prints(bits: bytes | None, span: int, k: int):
     return work
 
 
-def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    have = np.zeros(FILTER_BITS, bool)
-    for batch in batches:
-        fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        for s in _slots(fp):
-            have[s] = True
-    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(have).tobytes()])], names=["bits"])
+def _fill(size: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = np.zeros(size, bool)
+        for batch in batches:
+            fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for s in _slots(fp, size):
+                have[s] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(have).tobytes()])], names=["bits"])
+
+    return work
+
+
+def _merge(size: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(size // 8, np.uint8)
+        for batch in batches:
+            for b in batch.column(0):
+                out |= np.frombuffer(b.as_py(), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()])], names=["bits"])
+
+    return work
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for batch in batches:
-        for b in batch.column(0):
-            out |= np.frombuffer(b.as_py(), np.uint8)
-    yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()])], names=["bits"])
+def filter_bits(prints: int) -> int:
+    size = LEAST_BITS
+    while size < min(MOST_BITS, prints * BITS_PER_PRINT):
+        size *= 2
+    return size
 
 
 def _shared(a: Column, b: Column, most: int) -> Column:
@@ -112,9 +127,10 @@ def leaked(documents: DataFrame, items: DataFrame, span: int = SPAN, k: int = GR
     join (or a broadcast one, where the planner finds the items' side small).
     """
     item_prints = items.where("item_id is not null").select(F.col("item_id").cast("bigint"), "item_text").mapInArrow(_prints(None, span, k), _SCHEMA)
-    parts = item_prints.select("fp").mapInArrow(_fill, "bits binary")
-    bits = parts.coalesce(1).mapInArrow(_merge, "bits binary").first()[0]
-    doc_prints = documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_prints(bytes(bits), span, k), _SCHEMA)
+    size = filter_bits(item_prints.count())
+    parts = item_prints.select("fp").mapInArrow(_fill(size), "bits binary")
+    bits = parts.coalesce(1).mapInArrow(_merge(size), "bits binary").first()[0]
+    doc_prints = spread(documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint"), "text")).mapInArrow(_prints(bytes(bits), span, k), _SCHEMA)
     reach = span - k
     d, i = doc_prints.alias("d"), item_prints.alias("i")
     return (

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.normalize import company_number, duration_class, usable
 from ledgerline.llm.garble import garbled, restored
 from ledgerline.llm.leakage import leaked
-from ledgerline.llm.neardup import near_duplicates
+from ledgerline.llm.neardup import near_duplicate_classes, near_duplicates
 from ledgerline.llm.nearest_time import nearest_in_time
 from ledgerline.llm.splitting import LEVELS, LIMIT, OVERLAP, split_oversized
 from ledgerline.llm.survivorship import best_facts
@@ -131,6 +131,18 @@ n AS (SELECT rn, count(*) n FROM g GROUP BY rn), c AS (SELECT a.rn ra, b.rn rb,
 SELECT passage_id_a, passage_id_b FROM c JOIN n x ON x.rn = ra JOIN n y ON y.rn = rb WHERE 8 * c >= 3 * (x.n + y.n)"""
 
 
+_P3_CLASSES = _P3.split("s AS (")[0] + """t AS (SELECT DISTINCT passage_id, list_sort(list_distinct(list_transform(range(len(w) - 2), lambda i: array_to_string(w[i + 1:i + 3], ' ')))) gs, row_number() OVER () rn FROM w WHERE len(w) >= 3),
+k AS (SELECT gs, min(passage_id) class_id, len(gs) n FROM t GROUP BY gs), g AS (SELECT class_id, n, unnest(gs) gram, hash(gs) hk FROM k),
+c AS (SELECT a.hk x, b.hk y, any_value(a.n) nx, any_value(b.n) ny, count(*) c FROM g a JOIN g b ON a.gram = b.gram AND a.hk <> b.hk GROUP BY ALL), l AS (SELECT x, count(*) links FROM c WHERE 8 * c >= 3 * (nx + ny) GROUP BY x)
+SELECT t.passage_id, k.class_id, coalesce(l.links, 0) links FROM t JOIN k ON k.gs = t.gs LEFT JOIN l ON l.x = hash(k.gs)"""
+
+
+@R.add("p3_classes", _P3_CLASSES)
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "narrative_passages", "passage_id", "text").select(F.col("passage_id").alias("id"), "text")
+    return near_duplicate_classes(texts).select(F.col("id").alias("passage_id"), "class_id", "links")
+
+
 @R.add("p3_found", _P3)
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "narrative_passages", "passage_id", "text").select(F.col("passage_id").alias("id"), "text")

@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.session import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 # Fixed value: the pattern of this vocabulary that splits text before any merge.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -126,4 +128,4 @@ def encode_corpus(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFra
     size is fixed), so workers need no file. No shuffle.
     """
     singles, merges = load_vocabulary(vocabulary)
-    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_encode(vocabulary, singles, merges), "doc_id bigint, ids array<int>")
+    return spread(documents.select(F.col("doc_id").cast("bigint"), "text")).mapInArrow(_encode(vocabulary, singles, merges), "doc_id bigint, ids array<int>")
