@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.normalize import collapse_space, dashed_accession, label
+from ledgerline.session import spread
 
 LIMIT, OVERLAP = 1500, 150
 LEVELS = ("section", "block", "sentence", "word", "character")
@@ -155,7 +156,7 @@ def split_oversized(chunks: DataFrame, blocks: DataFrame, limit: int = LIMIT, ov
     character cuts. Only chunks over the limit take part in the join with their blocks, and of the blocks only length,
     checksum and section, not their texts.
     """
-    big = chunks.where((label("kind") == "prose") & (F.length("text") > limit)).select("chunk_key", "section", "text", dashed_accession("accession_number").alias("acc"), "source_orders")
+    big = spread(chunks.where((label("kind") == "prose") & (F.length("text") > limit)).select("chunk_key", "section", "text", dashed_accession("accession_number").alias("acc"), "source_orders"))
     wanted = big.select("acc", "source_orders").distinct().select("acc", "source_orders", F.posexplode("source_orders").alias("at", "block_order"))
     squeezed = collapse_space("text")
     block = F.struct(F.coalesce(F.length(squeezed), F.lit(0)).alias("n"), F.coalesce(F.crc32(squeezed.cast("binary")), F.lit(0)).alias("crc"), "section")
