@@ -87,3 +87,25 @@ def test_an_unreadable_store_is_no_empty_one(spark, tmp_path):
     (tmp_path / "bad/part-0.parquet").write_text("no parquet")
     with pytest.raises(Exception, match="(?i)parquet|cannot|failed"):
         poll.read_completed(spark, str(tmp_path / "bad")).collect()
+
+
+def test_small_tables_are_dealt_out_and_others_left(spark):
+    from ledgerline.session import spread
+
+    few, cores = spark.range(100).coalesce(1), spark.sparkContext.defaultParallelism
+    assert spread(few).rdd.getNumPartitions() == cores and sorted(r.id for r in spread(few).collect()) == list(range(100))
+    many = spark.range(0, 100, 1, cores)
+    assert spread(many) is many
+    large = spark.range(1 << 30).coalesce(1)
+    assert spread(large) is large
+
+
+def test_working_tables_lie_in_the_folder_of_their_application(spark):
+    from ledgerline.session import drop_path, path_exists, shared_path
+
+    a, b = shared_path(spark, "x"), shared_path(spark, "x")
+    assert a != b and f"/ledgerline/{spark.sparkContext.applicationId}/" in a and not path_exists(spark, a)
+    spark.range(3).write.parquet(a)
+    assert path_exists(spark, a)
+    drop_path(spark, a, b)
+    assert not path_exists(spark, a)
