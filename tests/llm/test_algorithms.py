@@ -161,6 +161,18 @@ def test_large_buckets_go_through_tiles(spark, monkeypatch):
     assert set(found(spark, rows)) == pairs_of(rows)
 
 
+def test_the_order_keeps_the_most_frequent_shingles(spark, monkeypatch):
+    rnd = random.Random(12)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(i, edited(rnd, words[: rnd.randrange(20, 60)], 2)) for i in range(80)]
+    texts = spark.createDataFrame(rows, "id bigint, text string")
+    known, often, _ = neardup.shingle_order(texts)
+    monkeypatch.setattr(neardup, "ORDERED", 15)
+    few, n, _ = neardup.shingle_order(texts)
+    assert 0 < len(few) <= 15 and min(n) >= sorted(often)[-16] and set(few.tolist()) <= set(known.tolist())
+    assert set(found(spark, rows)) == pairs_of(rows)
+
+
 def test_repeats_and_empty_table(spark):
     assert found(spark, [(1, "a b c d"), (1, "a b c d"), (2, "a b c d")]) == [(1, 2), (1, 2)]
     assert found(spark, []) == []
