@@ -118,3 +118,12 @@ def test_searches_take_every_hundredth_row_as_query(spark, tmp_path):
         for r in entry.queries()[name](spark, d).orderBy("query_id", "rank").collect():
             by.setdefault(r.query_id, []).append(r.doc_id)
     assert all(x == {100: [1, 3], 200: [2]} for x in got.values())
+
+
+def test_searches_of_one_corpus_join_by_keys(spark, tmp_path):
+    d = str(tmp_path)
+    spark.createDataFrame([(1, "red apple"), (None, "revenue growth"), (3, "revenue growth and pie")], "doc_id bigint, text string").write.parquet(f"{d}/documents.parquet")
+    df = entry.queries()["search_bm25_documents"](spark, d)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    assert {r.doc_id for r in df.where("query_id = 1").collect()} == {None, 3}
