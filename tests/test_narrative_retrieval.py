@@ -1,9 +1,12 @@
 import difflib
 import math
 import random
+import re
 from datetime import date
 
+import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -127,3 +130,26 @@ def test_searches_of_one_corpus_join_by_keys(spark, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     assert {r.doc_id for r in df.where("query_id = 1").collect()} == {None, 3}
+
+
+def _odd_corpus(spark, d):
+    """Repeated, null and negative ids, null and empty texts, filings of one chunk, a document that repeats a term."""
+    rng = np.random.default_rng(5)
+    words = ["the", "of", "red", "blue", "pie", "whale", "stone", "Song", "tax", "lease", "note", "plan"]
+    docs = [(i, "ABC"[i % 3], " ".join(rng.choice(words, rng.integers(1, 25)))) for i in range(-100, 330)]
+    docs += [(None, "A", "red pie the"), (None, "D", "blue"), (7, "A", "whale whale"), (7, "A", "of red"), (200, "D", ""), (300, "D", None), (500, "E", "the the the plan"), (501, "E", "the plan")]
+    spark.createDataFrame([(i, x) for i, _, x in docs], "doc_id bigint, text string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, None if g == "B" else g, "Prose", x) for i, g, x in docs if i not in (7, 200, 300)], "chunk_key bigint, accession_number string, kind string, text string").write.parquet(f"{d}/chunks.parquet")
+
+
+@pytest.mark.parametrize("name", ["search_bm25_documents_rows"])
+def test_searches_by_rows_agree_with_sql_and_exchange_no_pairs(spark, tmp_path, name):
+    d = str(tmp_path)
+    _odd_corpus(spark, d)
+    df = entry.queries()[name](spark, d)
+    assert not re.search(r"hashpartitioning\([^)]*query_id[^)]*doc_id", df._jdf.queryExecution().executedPlan().toString())
+    con = duckdb.connect()
+    for t in ("documents", "chunks"):
+        con.execute(f"create view {t} as select * from '{d}/{t}.parquet/*.parquet'")
+    want = con.execute(entry.oracle_sql()[name]).fetchall()
+    assert len(want) > 30 and sorted(map(tuple, df.collect())) == sorted(want)
