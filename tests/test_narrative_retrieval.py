@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from ledgerline.operators import filings, narrative, records, retrieval
+from ledgerline.operators import blocks, filings, narrative, records, retrieval
+from ledgerline.plans import domain_queries
 
 
 def test_topics_and_dates(spark):
@@ -142,7 +143,7 @@ def _odd_corpus(spark, d):
     spark.createDataFrame([(i, None if g == "B" else g, "Prose", x) for i, g, x in docs if i not in (7, 200, 300)], "chunk_key bigint, accession_number string, kind string, text string").write.parquet(f"{d}/chunks.parquet")
 
 
-@pytest.mark.parametrize("name", ["search_bm25_documents_rows"])
+@pytest.mark.parametrize("name", ["search_bm25_documents_rows", "search_fused_filings_rows"])
 def test_searches_by_rows_agree_with_sql_and_exchange_no_pairs(spark, tmp_path, name):
     d = str(tmp_path)
     _odd_corpus(spark, d)
@@ -153,3 +154,13 @@ def test_searches_by_rows_agree_with_sql_and_exchange_no_pairs(spark, tmp_path,
         con.execute(f"create view {t} as select * from '{d}/{t}.parquet/*.parquet'")
     want = con.execute(entry.oracle_sql()[name]).fetchall()
     assert len(want) > 30 and sorted(map(tuple, df.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("kind", ["fused"])
+def test_groups_too_large_for_a_task_rank_alike(spark, tmp_path, kind):
+    d = str(tmp_path)
+    _odd_corpus(spark, d)
+    corpus = domain_queries._chunk_corpus(spark, d)
+    assert len(blocks.large_groups(corpus, 100)) == 3
+    whole, parts = (sorted(map(tuple, domain_queries._rows_ranked(kind, corpus, 3, most).collect())) for most in (10**6, 100))
+    assert whole == parts
