@@ -143,7 +143,7 @@ def _odd_corpus(spark, d):
     spark.createDataFrame([(i, None if g == "B" else g, "Prose", x) for i, g, x in docs if i not in (7, 200, 300)], "chunk_key bigint, accession_number string, kind string, text string").write.parquet(f"{d}/chunks.parquet")
 
 
-@pytest.mark.parametrize("name", ["search_bm25_documents_rows", "search_bm25_filings_rows", "search_fused_filings_rows"])
+@pytest.mark.parametrize("name", ["search_bm25_documents_rows", "search_bm25_filings_rows", "search_fused_filings_rows", "search_reranked_filings_rows"])
 def test_searches_by_rows_agree_with_sql_and_exchange_no_pairs(spark, tmp_path, name):
     d = str(tmp_path)
     _odd_corpus(spark, d)
@@ -156,7 +156,7 @@ def test_searches_by_rows_agree_with_sql_and_exchange_no_pairs(spark, tmp_path,
     assert len(want) > 30 and sorted(map(tuple, df.collect())) == sorted(want)
 
 
-@pytest.mark.parametrize("kind", ["bm25", "fused"])
+@pytest.mark.parametrize("kind", ["bm25", "overlap", "fused"])
 def test_groups_too_large_for_a_task_rank_alike(spark, tmp_path, kind):
     d = str(tmp_path)
     _odd_corpus(spark, d)
