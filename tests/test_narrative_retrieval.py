@@ -164,3 +164,11 @@ def test_groups_too_large_for_a_task_rank_alike(spark, tmp_path, kind):
     assert len(blocks.large_groups(corpus, 100)) == 3
     whole, parts = (sorted(map(tuple, domain_queries._rows_ranked(kind, corpus, 3, most).collect())) for most in (10**6, 100))
     assert whole == parts
+
+
+def test_precision_joins_by_keys(spark, tmp_path):
+    d = str(tmp_path)
+    spark.createDataFrame([(1, "revenue growth"), (2, "growth of revenue"), (3, "growth and pie"), (4, None)], "doc_id bigint, text string").write.parquet(f"{d}/documents.parquet")
+    df = entry.queries()["search_precision"](spark, d)
+    assert "CartesianProduct" not in df._jdf.queryExecution().executedPlan().toString()
+    assert tuple(df.first())[:2] == (3, 2)
