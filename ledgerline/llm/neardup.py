@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.words import Words, column_words, gram_hashes, mix
-from ledgerline.session import partitions_for, spread
+from ledgerline.session import drop_path, partitions_for, shared_path, spread
 
 SHINGLE, SIMILARITY = 3, Fraction(3, 5)
 #: Bits of a signature: the power of two from LEAST_BITS on that has at least BITS_PER_SHINGLE for each of the set's.
@@ -34,8 +34,8 @@ LEAST_BITS, BITS_PER_SHINGLE = 128, 1.6
 #: Members of a tile. Buckets up to LARGE are compared by one task; the tile pairs of a larger one are dealt out in
 #: squares of side SIDE.
 TILE, LARGE, SIDE = 8, 1 << 15, 1 << 13
-#: The order of shingles is learned from about so many texts, so many shingles of each, and remembers so many shingles.
-SAMPLE_TEXTS, SAMPLE_SHINGLES, ORDERED = 50_000, 512, 1 << 20
+#: The order of shingles remembers so many.
+ORDERED = 1 << 20
 _FLUSH_ENTRIES = 4_000_000
 _CHUNK_PAIRS = 2_000_000
 
@@ -336,30 +336,69 @@ def _unplanes(b: bytes, width: int = 4) -> np.ndarray:
     return sum(rows[i].astype(np.int64) << (8 * i) for i in range(width))
 
 
-def _counted(k: int):
-    """How many of a task's texts have each shingle."""
+def _merged(tokens: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct tokens, sorted, with the sums of their counts."""
+    token = np.concatenate(tokens)
+    sort = np.argsort(token, kind="stable")
+    token = token[sort]
+    first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    return token[first], np.add.reduceat(np.concatenate(counts)[sort], first)
+
+
+def _counted(k: int, parts: int):
+    """How many of a task's texts have each shingle, packed by ranges of the shingles: four bytes each and their counts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+
+        def give() -> pa.RecordBatch:
+            edge = np.searchsorted(tokens[0], np.array([(p << 32) // parts for p in range(1, parts)], np.uint64))
+            rows = [(p, t.tobytes(), _planes(n)) for p, (t, n) in enumerate(zip(np.split(tokens[0], edge), np.split(counts[0], edge))) if len(t)]
+            tokens.clear(), counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["part", "tokens", "counts"])
+
+        merged = 0
         for batch in batches:
-            some = []
             for w in column_words(batch.column(1)):
-                _, first, tokens = shingle_sets(w, k)
-                at = np.arange(len(tokens)) - np.repeat(first, np.diff(np.r_[first, len(tokens)]))
-                some.append(tokens[at < SAMPLE_SHINGLES])
-            token, n = np.unique(np.concatenate(some), return_counts=True) if some else (np.empty(0, np.int64),) * 2
-            yield pa.RecordBatch.from_arrays([pa.array(token.astype(np.int64)), pa.array(n.astype(np.int64))], names=["token", "n"])
+                t = shingle_sets(w, k)[2]
+                tokens.append(t), counts.append(np.ones(len(t), np.int64))
+                if sum(map(len, tokens[1:])) >= max(_FLUSH_ENTRIES, merged):
+                    one = _merged(tokens, counts)
+                    tokens[:], counts[:], merged = [one[0]], [one[1]], len(one[0])
+                    if merged >= _FLUSH_ENTRIES:
+                        yield give()
+                        merged = 0
+        if sum(map(len, tokens)):
+            one = _merged(tokens, counts)
+            tokens[:], counts[:] = [one[0]], [one[1]]
+            yield give()
 
     return work
 
 
-def shingle_order(texts: DataFrame, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, int]:
-    """(sorted shingles, how often, texts that each of the sample stands for) of the shingles that a sample of texts
-    repeats. It decides how fast the comparison is, not what it finds."""
-    every = max(1, texts.count() // SAMPLE_TEXTS)
-    sample = texts.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
-    counted = sample.mapInArrow(_counted(k), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).where("n > 1")
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the rows of a range of shingles: those that more than one text has."""
+    tokens, counts = [], []
+    for batch in batches:
+        tokens += [np.frombuffer(t, np.uint32) for t in batch.column(1).to_pylist()]
+        counts += [_unplanes(n) for n in batch.column(2).to_pylist()]
+    if tokens:
+        token, n = _merged(tokens, counts)
+        yield pa.RecordBatch.from_arrays([pa.array(token[n > 1].astype(np.int64)), pa.array(n[n > 1])], names=["token", "n"])
+
+
+def shingle_order(texts: DataFrame, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(sorted shingles, how many texts have each, whether these are all) of the shingles that more than one text has,
+    counted over all texts; where they are more than ORDERED, only the most frequent. It decides how fast the comparison
+    is, not what it finds."""
+    spark, parts = texts.sparkSession, partitions_for(texts)
+    path = shared_path(spark, "shingles")  # read more than once
+    texts.mapInArrow(_counted(k, parts), "part int, tokens binary, counts binary").repartitionById(parts, "part").mapInArrow(_repeated, "token bigint, n bigint").write.parquet(path)
+    counted = spark.read.schema("token bigint, n bigint").parquet(path)
     rows = counted.limit(ORDERED + 1).toArrow()
-    if rows.num_rows > ORDERED:  # only the most frequent ones, of equally frequent ones all or none
+    whole = rows.num_rows <= ORDERED
+    if not whole:  # only the most frequent ones, of equally frequent ones all or none
         left, cut = ORDERED, 1 << 62
         for n, tokens in sorted(((r.n, r.tokens) for r in counted.groupBy("n").agg(F.count(F.lit(1)).alias("tokens")).collect()), reverse=True):
             left -= tokens
@@ -367,9 +406,10 @@ def shingle_order(texts: DataFrame, k: int = SHINGLE) -> tuple[np.ndarray, np.nd
                 break
             cut = n
         rows = counted.where(F.col("n") >= cut).toArrow()
+    drop_path(spark, path)
     token, n = (rows.column(c).to_numpy() for c in ("token", "n"))
     at = np.argsort(token)
-    return token[at].astype(np.uint32), n[at], every
+    return token[at].astype(np.uint32), n[at], whole
 
 
 def _entries(parts: int, order: tuple[np.ndarray, np.ndarray], t: Fraction, hot: int):
@@ -590,12 +630,12 @@ def _exact(t: Fraction, known: np.ndarray):
 
 def class_links(texts: DataFrame, t: Fraction = SIMILARITY, k: int = SHINGLE, large: int = LARGE) -> DataFrame:
     """(a1, a2, b1, b2): pairs of different classes of texts (id, text) whose similarity is t or more, each once."""
-    parts, (known, often, every) = partitions_for(texts), shingle_order(texts, k)
+    parts, (known, often, _) = partitions_for(texts), shingle_order(texts, k)
     order = (known, often)
     # The joins below imply these filters; stated here, they leave the exchange the same for every use.
     told = texts.mapInArrow(_classes(k, known), _CLASS).where("ref is not null and h1 is not null and h2 is not null")
     classes = told.repartition(parts, "ref").groupBy("ref", "h1", "h2").agg(F.first("body").alias("body"))
-    entries = classes.select("ref", "body").mapInArrow(_entries(parts, order, t, max(1, large // every)), _PART).repartitionById(parts, "part")
+    entries = classes.select("ref", "body").mapInArrow(_entries(parts, order, t, large), _PART).repartitionById(parts, "part")
     found = entries.mapInArrow(_buckets(t, large, False), "a bigint, b bigint")
     dealt = (
         entries.mapInArrow(_buckets(t, large, True), "ref bigint, bucket bigint, size bigint").join(classes, "ref")

@@ -298,3 +298,10 @@ def test_days_before_1970_are_not_late(spark):
     right = spark.createDataFrame([(1, "Q", d + timedelta(k), 10 * n + k) for n, d in enumerate(days) for k in (3, 9)], "entity bigint, class string, day date, right_id bigint")
     got = {(r.day, r.right_id) for r in nearest_in_time(left, right, 45).collect()}
     assert got == {(days[0], 3), (days[1], 13), (days[2], 13), (days[3], 33)}
+
+
+def test_order_counts_all_shingles_of_all_texts(spark):
+    long = " ".join(f"w{i}" for i in range(700))
+    texts = spark.createDataFrame([(1, long), (2, long + " end"), (3, "w0 w1 w2"), (4, None), (5, "one two")], "id bigint, text string")
+    known, often, whole = neardup.shingle_order(texts)
+    assert whole is True and len(known) == 698 and sorted(often.tolist()) == [2] * 697 + [3]
