@@ -172,3 +172,21 @@ def test_precision_joins_by_keys(spark, tmp_path):
     df = entry.queries()["search_precision"](spark, d)
     assert "CartesianProduct" not in df._jdf.queryExecution().executedPlan().toString()
     assert tuple(df.first())[:2] == (3, 2)
+
+
+def test_precision_judges_hits_only_and_multiplies_nothing(spark, tmp_path):
+    d = str(tmp_path)
+    words = "revenue growth and gross profit litigation complaint pie of".split()
+    docs = [(i, " ".join(words[(i * j) % 9] for j in range(1, 2 + i % 7))) for i in range(1, 60)]
+    docs += [(None, "revenue growth gross profit"), (100, "litigation Complaint lease obligations"), (101, ""), (102, None), (103, "inventory turns export")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{d}/documents.parquet")
+    df = entry.queries()["search_precision"](spark, d)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+    assert not re.search(r"hashpartitioning\(query_id#\d+, doc_id", plan)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{d}/documents.parquet/*.parquet'")
+    want = con.execute(entry.oracle_sql()["search_precision"]).fetchone()
+    assert 0 < want[1] < want[0] and tuple(df.first()) == want
+    spark.createDataFrame([(1, "pie")], "doc_id bigint, text string").write.parquet(f"{d}/none/documents.parquet")
+    assert tuple(entry.queries()["search_precision"](spark, f"{d}/none").first()) == (0, 0, None)
